@@ -32,29 +32,38 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Outside these, the library and the regex module may class a code point by other Unicode versions.
 _AGREED = re.compile("[^\x00-՗ -⁯]")
 #: Entries of a task's own tally before it is passed on.
-TALLY = 400_000
+TALLY = 100_000
 
 
 @functools.cache
-def _tools(path: str):
+def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+    return Tokenizer.from_file(path)
+
+
+def special_strings(path: str) -> tuple[str, ...]:
+    """The strings that the library takes for one token each, wherever they stand."""
+    tokenizer = _tokenizer(path)
     if type(tokenizer.pre_tokenizer).__name__ != "ByteLevel" or tokenizer.normalizer is not None:
         raise ValueError("token counts by pre-token need a byte-level tokenizer without a normalizer")
-    special = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-    return tokenizer, regex.compile(PATTERN), re.compile("|".join(map(re.escape, special))) if special else None
+    return tuple(sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True))
+
+
+@functools.cache
+def _patterns(special: tuple[str, ...]):
+    return regex.compile(PATTERN), re.compile("|".join(map(re.escape, special)) or "(?!)")
 
 
-def pre_tokens(text: str, path: str) -> tuple[list[str], int]:
-    """The pre-tokens of a text, and how many special tokens stand in it."""
-    tokenizer, pattern, special = _tools(path)
-    parts = special.split(text) if special else [text]
+def pre_tokens(text: str, path: str, special: tuple[str, ...]) -> tuple[list[str], int]:
+    """The pre-tokens of a text, and how many special tokens stand in it. The library is loaded only where it is needed."""
+    pattern, specials = _patterns(special)
+    parts = specials.split(text)
     found: list[str] = []
     for part in parts:
         if _AGREED.search(part):
-            found += [part[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(part)]
+            found += [part[a:b] for _, (a, b) in _tokenizer(path).pre_tokenizer.pre_tokenize_str(part)]
         else:
             found += pattern.findall(part)
     return found, len(parts) - 1
@@ -64,7 +73,7 @@ def _rows(tally: dict[str, int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), pa.array(list(tally.values()), pa.int64())], names=["piece", "n"])
 
 
-def vocabulary(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
+def vocabulary(spark: SparkSession, docs: DataFrame, path: str, special: tuple[str, ...]) -> DataFrame:
     """piece, n (occurrences in the corpus), tokens (what the library makes of it)."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,17 +81,17 @@ def vocabulary(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for text in batch.column(0):
                 if text.is_valid:
-                    seen.update(pre_tokens(text.as_py(), path)[0])
+                    seen.update(pre_tokens(text.as_py(), path, special)[0])
                 if len(seen) > TALLY:
                     yield _rows(seen)
                     seen.clear()
         yield _rows(seen)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tools(path)[0]
+        tokenizer = _tokenizer(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 5_000):
-                part = batch.slice(at, 5_000)
+            for at in range(0, batch.num_rows, 2_000):
+                part = batch.slice(at, 2_000)
                 ids = tokenizer.encode_batch(part.column(0).to_pylist(), add_special_tokens=False)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([len(x.ids) for x in ids], pa.int32())], names=["piece", "n", "tokens"])
 
@@ -102,10 +111,11 @@ def bound_for(vocab: DataFrame, frequent: int) -> int:
     return least
 
 
-def token_counts(spark: SparkSession, docs: DataFrame, path: str, limit: int = 1024, frequent: int = 400_000) -> DataFrame:
+def token_counts(spark: SparkSession, docs: DataFrame, path: str, limit: int = 1024, frequent: int = 200_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) for every row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    vocab = vocabulary(spark, docs, path)
+    special = special_strings(path)
+    vocab = vocabulary(spark, docs, path, special)
     release(spark)
     least = bound_for(vocab, frequent)
     known = dict(vocab.filter(F.col("n") >= least).select("piece", "tokens").toPandas().itertuples(index=False, name=None))
@@ -115,8 +125,9 @@ def token_counts(spark: SparkSession, docs: DataFrame, path: str, limit: int = 1
         get = shared.value.get
         for batch in batches:
             rows: list[tuple] = []
-            for row, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found, total = pre_tokens(text or "", path)
+            for row, doc, text in zip(*batch.columns, strict=True):
+                row, doc, text = row.as_py(), doc.as_py(), text.as_py()
+                found, total = pre_tokens(text or "", path, special)
                 counts = list(map(get, found))
                 size = len((text or "").encode())
                 if None in counts:
@@ -128,7 +139,7 @@ def token_counts(spark: SparkSession, docs: DataFrame, path: str, limit: int = 1
                 else:
                     # no such pre-token: the row number only deals these rows out evenly
                     rows.append((row, doc, size, f"\0{row}", 0, total + sum(counts)))
-                if len(rows) > 50_000:
+                if len(rows) > 20_000:
                     yield _table(rows)
                     rows = []
             yield _table(rows)
