@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm.common import documents
+from ledgerlens.llm.mixing import MIX_SQL, mix
 from ledgerlens.llm.quality import quality
+from ledgerlens.llm.sharding import shard
 from ledgerlens.llm.tokens import token_counts
 
 
@@ -17,13 +19,21 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(spark, documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(spark, documents(spark, sf_dir))
+
+
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(spark, documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(spark, documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op4_mix, op7_shards, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mix": MIX_SQL}
