@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm.common import documents
+from ledgerlens.llm.language import languages
 from ledgerlens.llm.mixing import MIX_SQL, mix
 from ledgerlens.llm.quality import quality
 from ledgerlens.llm.sharding import shard
@@ -27,12 +28,16 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(spark, documents(spark, sf_dir))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(spark, documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(spark, documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op4_mix, op7_shards, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op4_mix, op7_shards, op8_language, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
