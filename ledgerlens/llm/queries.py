@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm.common import documents
+from ledgerlens.llm.decontaminate import leaks
 from ledgerlens.llm.language import languages
 from ledgerlens.llm.mixing import MIX_SQL, mix
 from ledgerlens.llm.quality import quality
@@ -20,6 +21,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(spark, documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark, documents(spark, sf_dir))
 
@@ -37,7 +42,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op4_mix, op7_shards, op8_language, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op3_benchmark_leaks, op4_mix, op7_shards, op8_language, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
