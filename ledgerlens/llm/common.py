@@ -54,20 +54,18 @@ def parts(spark: SparkSession) -> int:
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
-    """A table (key binary, text, copies) with one row per different text, bucketed by key.
+    """A table (digest, key, text, copies) with one row per different text, bucketed by key.
 
     The one shuffle of whole texts that the repeat finders need: later passes join it
     by key to lists of positions, which are dealt to its buckets, and the texts stay put.
     Copies meet map-side first, so a group with a third of all rows is no hot task.
     """
-    one = (
-        docs.select(digest(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-        .groupBy("key")
-        .agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    )
+    text = F.coalesce("text", F.lit(""))
+    one = docs.select(digest(text).alias("digest"), text.alias("text")).groupBy("digest").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    keyed = one.select("digest", F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long").alias("key"), "text", "copies")
     table = f"{name}_{uuid.uuid4().hex}"
     (
-        one.repartition(parts(spark), "key")
+        keyed.repartition(parts(spark), "key")
         .write.option("compression", "zstd")
         .option("path", f"{shared_dir(spark)}/{table}")
         .bucketBy(parts(spark), "key")

@@ -58,7 +58,7 @@ def window_hash(pre: np.ndarray, n: int, lane: int) -> np.ndarray:
     if len(pre) <= n:
         return np.zeros(0, dtype=U)
     h = (pre[n:] - pre[:-n]) * powers(len(pre), lane, True)[: len(pre) - n]
-    return mix(h + U(n) * U(0xD6E8FEB86659FD93))
+    return mix(h + U(n * 0xD6E8FEB86659FD93 % 2**64))
 
 
 def byte_symbols(buf: np.ndarray, lane: int) -> np.ndarray:

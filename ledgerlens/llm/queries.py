@@ -12,6 +12,7 @@ from ledgerlens.llm.language import languages
 from ledgerlens.llm.mixing import MIX_SQL, mix
 from ledgerlens.llm.quality import quality
 from ledgerlens.llm.sharding import shard
+from ledgerlens.llm.substrings import removed_bytes, removed_words
 from ledgerlens.llm.tokens import token_counts
 
 
@@ -29,6 +30,10 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark, documents(spark, sf_dir))
 
 
+def op5_repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_words(spark, documents(spark, sf_dir))
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(spark, documents(spark, sf_dir))
 
@@ -37,12 +42,16 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(spark, documents(spark, sf_dir))
 
 
+def op9_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_bytes(spark, documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(spark, documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_benchmark_leaks, op4_mix, op7_shards, op8_language, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op3_benchmark_leaks, op4_mix, op5_repeated_words, op7_shards, op8_language, op9_repeated_bytes, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
