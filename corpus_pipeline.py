@@ -1,13 +1,65 @@
-"""The corpus pipeline: stages in their order."""
+"""The corpus pipeline: language ID, near duplicates, benchmark decontamination, mixing, sharding.
+
+Each stage takes (spark, docs, sf_dir), works on all that the one before it kept, and returns a DataFrame that is written
+and read again as the next one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from ledgerlens.llm.common import cut, documents
+from ledgerlens.llm.decontaminate import without_leaks
+from ledgerlens.llm.jaccard import one_of_each
+from ledgerlens.llm.language import accepted
+from ledgerlens.llm.mixing import mixed
+from ledgerlens.llm.sharding import shard
+
+#: The least language score that is accepted: texts of several languages and short ones pass, texts of no language do not.
+LANGUAGE_SCORE = 0.4
+SHARDS = 40
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or of no known language, go."""
+    return accepted(spark, docs, LANGUAGE_SCORE)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, that of the least doc_id."""
+    return one_of_each(spark, docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return without_leaks(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it: not at all, once or twice."""
+    return mixed(docs)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row with its shard and its place there."""
+    made = {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"}
+    return shard(spark, docs, SHARDS, [c for c in docs.columns if c.lower() not in made])
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing sources to target weights", mix_sources),
+    ("sharding", sharding),
+]
+
+#: A trained network and a search index decide here, which SQL cannot express: see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = cut(spark, stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

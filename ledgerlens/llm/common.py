@@ -53,6 +53,11 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_key(text: Column) -> Column:
+    """64 bits of the text's digest as a number: what lists of positions are dealt out by."""
+    return F.conv(F.hex(F.substring(digest(text), 1, 8)), 16, -10).cast("long")
+
+
 def distinct_texts(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
     """A table (digest, key, text, copies) with one row per different text, bucketed by key.
 

@@ -201,46 +201,81 @@ def fit(docs: DataFrame, langs: int = 64, per_lang: int = 400, per_doc: int = 60
     return model
 
 
-def predict(model: BiGRU | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of doc_id, held_out, text, letter in; doc_id, held_out, lang_pred, score out."""
-    langs = model.langs if model else []
-    seen, scores = np.zeros(0, K.U), np.zeros((0, len(langs)), np.float32)
-    for whole in batches:
-        for batch in K.pieces(whole):
-            n = batch.num_rows
-            total = np.zeros((n, max(1, len(langs))))
-            if model:
-                buf, off = K.flat(batch.column(2))
-                low, starts, ends, text = letters(buf, off)
-                hashes = K.word_hashes(low, starts, ends, 0)
-                different, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-                at = np.minimum(np.searchsorted(seen, different), max(len(seen) - 1, 0))
-                fresh = np.flatnonzero(seen[at] != different) if len(seen) else np.arange(len(different))
-                own = np.zeros((len(different), len(langs)), np.float32)
-                if len(seen):
-                    own[:] = scores[at]
-                order = fresh[np.argsort(-(ends - starts)[first[fresh]], kind="stable")]
-                for k in range(0, len(order), 4096):
-                    rows = order[k : k + 4096]
-                    own[rows] = model.pooled(*matrix(low, starts[first[rows]], ends[first[rows]]))
-                if len(seen) + len(fresh) > REMEMBERED:
-                    seen, scores = different, own
-                else:
-                    seen, scores = np.concatenate([seen, different[fresh]]), np.concatenate([scores, own[fresh]])
-                    o = np.argsort(seen)
-                    seen, scores = seen[o], scores[o]
-                for j in range(len(langs)):
-                    total[:, j] = np.bincount(text, weights=own[back, j], minlength=n)
-            known = batch.column(3).fill_null(False).to_numpy(zero_copy_only=False) & (total.sum(1) > 0)
-            best = total.argmax(1)
-            score = np.where(known, total[np.arange(n), best] / np.maximum(total.sum(1), 1e-12), 0.0)
-            pred = [langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(np.clip(score, 0.0, 1.0))], names=["doc_id", "held_out", "lang_pred", "score"])
+class Labeller:
+    """Labels texts, and remembers the labels of the words that it has met."""
+
+    def __init__(self, model: BiGRU | None):
+        self.model = model
+        self.langs = model.langs if model else []
+        self.seen, self.scores = np.zeros(0, K.U), np.zeros((0, len(self.langs)), np.float32)
+
+    def __call__(self, texts: pa.Array, letter: pa.Array) -> tuple[list[str], np.ndarray]:
+        n, langs = len(texts), self.langs
+        total = np.zeros((n, max(1, len(langs))))
+        if self.model:
+            buf, off = K.flat(texts)
+            low, starts, ends, text = letters(buf, off)
+            back, own = self._words(low, starts, ends)
+            for j in range(len(langs)):
+                total[:, j] = np.bincount(text, weights=own[back, j], minlength=n)
+        known = letter.fill_null(False).to_numpy(zero_copy_only=False) & (total.sum(1) > 0)
+        best = total.argmax(1)
+        score = np.where(known, total[np.arange(n), best] / np.maximum(total.sum(1), 1e-12), 0.0)
+        return [langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.clip(score, 0.0, 1.0)
+
+    def _words(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word the row of its label in a table of different words, and that table."""
+        different, first, back = np.unique(K.word_hashes(low, starts, ends, 0), return_index=True, return_inverse=True)
+        own = np.zeros((len(different), len(self.langs)), np.float32)
+        fresh = np.arange(len(different))
+        if len(self.seen):
+            at = np.minimum(np.searchsorted(self.seen, different), len(self.seen) - 1)
+            own[:] = self.scores[at]
+            fresh = np.flatnonzero(self.seen[at] != different)
+        order = fresh[np.argsort(-(ends - starts)[first[fresh]], kind="stable")]
+        for k in range(0, len(order), 4096):
+            rows = order[k : k + 4096]
+            own[rows] = self.model.pooled(*matrix(low, starts[first[rows]], ends[first[rows]]))
+        if len(self.seen) + len(fresh) > REMEMBERED:
+            self.seen, self.scores = different, own
+        else:
+            seen, scores = np.concatenate([self.seen, different[fresh]]), np.concatenate([self.scores, own[fresh]])
+            o = np.argsort(seen)
+            self.seen, self.scores = seen[o], scores[o]
+        return back, own
+
+
+def _letter():
+    return F.col("text").rlike("\\p{L}")
 
 
 def languages(spark: SparkSession, docs: DataFrame, **sample) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     model = spark.sparkContext.broadcast(fit(docs, **sample))
-    seen = docs.select("doc_id", held_out().alias("held_out"), "text", F.col("text").rlike("\\p{L}").alias("letter"))
-    return seen.mapInArrow(lambda batches: predict(model.value, batches), "doc_id long, held_out boolean, lang_pred string, score double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label = Labeller(model.value)
+        for whole in batches:
+            for batch in K.pieces(whole):
+                pred, score = label(batch.column(2), batch.column(3))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
+
+    return docs.select("doc_id", held_out().alias("held_out"), "text", _letter().alias("letter")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def accepted(spark: SparkSession, docs: DataFrame, least: float, **sample) -> DataFrame:
+    """The rows of docs whose language is known with a score of `least` or more. Without labels to learn from, all that have a letter."""
+    model = spark.sparkContext.broadcast(fit(docs.select("doc_id", "text", "lang"), **sample))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label = Labeller(model.value)
+        for whole in batches:
+            for batch in K.pieces(whole):
+                letter = batch.column(batch.num_columns - 1)
+                pred, score = label(batch.column(batch.schema.get_field_index("text")), letter)
+                keep = score >= least if label.model else letter.fill_null(False).to_numpy(zero_copy_only=False)
+                rows = batch.filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays(rows.columns[:-1], names=batch.schema.names[:-1])
+
+    return docs.select("*", _letter().alias("_has_letter")).mapInArrow(run, docs.schema)

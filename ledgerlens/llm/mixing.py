@@ -52,17 +52,8 @@ def targets(sized: DataFrame) -> DataFrame:
     )
 
 
-def mix(spark: SparkSession, docs: DataFrame, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken for every row of docs, and the columns in keep."""
-    sized = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("source").isNull().alias("nosource"),
-        F.coalesce("source", F.lit("")).alias("name"),
-        F.size(words(F.col("text"))).cast("long").alias("size"),
-        *[F.col(c).alias(f"keep_{c}") for c in keep],
-    )
-    if not keep:
-        sized = cut(spark, sized, "mix")
+def _copies(sized: DataFrame, seed: str) -> DataFrame:
+    """sized with source_size, target and copies."""
     classed = sized.withColumn("class", F.when(F.col("size") > 0, F.floor(F.log2("size") * CLASSES)).otherwise(-1).cast("int")).withColumn("salt", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(SALTS)))
     cell = ["nosource", "name", "class", "salt"]
     before = Window.partitionBy("nosource", "name").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -72,14 +63,31 @@ def mix(spark: SparkSession, docs: DataFrame, seed: str = "mix", keep: tuple[str
     place = F.row_number().over(Window.partitionBy(*cell).orderBy("size", "doc_id"))
     at = F.col("before") + F.col("place")
     copies = F.floor(F.col("rate") * at + F.col("offset")) - F.floor(F.col("rate") * (at - 1) + F.col("offset"))
-    return (
-        classed.withColumn("place", place)
-        .join(rated, cell)
-        .withColumn("copies", copies)
-        .select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[F.col(f"keep_{c}").alias(c) for c in keep])
+    return classed.withColumn("place", place).join(rated, cell).withColumn("copies", copies)
+
+
+def _sized(docs: DataFrame, *more) -> DataFrame:
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("source").isNull().alias("nosource"),
+        F.coalesce("source", F.lit("")).alias("name"),
+        F.size(words(F.col("text"))).cast("long").alias("size"),
+        *more,
     )
 
 
+def mix(spark: SparkSession, docs: DataFrame, seed: str = "mix") -> DataFrame:
+    """doc_id, size, source_size, target, copies, taken for every row of docs."""
+    counted = _copies(cut(spark, _sized(docs), "mix"), seed)
+    return counted.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, seed: str = "mix") -> DataFrame:
+    """The rows of docs, each as often as the mix takes it."""
+    counted = _copies(_sized(docs, F.struct(*docs.columns).alias("row")), seed)
+    return counted.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")
+
+
 #: The same in DuckDB's SQL.
 MIX_SQL = """
 WITH sized AS (

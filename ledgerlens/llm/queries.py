@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm.common import documents
 from ledgerlens.llm.decontaminate import leaks
+from ledgerlens.llm.jaccard import jaccard_groups
 from ledgerlens.llm.language import languages
 from ledgerlens.llm.mixing import MIX_SQL, mix
 from ledgerlens.llm.quality import quality
@@ -34,6 +35,10 @@ def op5_repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_words(spark, documents(spark, sf_dir))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(spark, documents(spark, sf_dir))
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(spark, documents(spark, sf_dir))
 
@@ -51,7 +56,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_benchmark_leaks, op4_mix, op5_repeated_words, op7_shards, op8_language, op9_repeated_bytes, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op3_benchmark_leaks, op4_mix, op5_repeated_words, op6_jaccard_join, op7_shards, op8_language, op9_repeated_bytes, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

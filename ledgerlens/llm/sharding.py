@@ -35,13 +35,14 @@ RANGES = 1 << 16
 PARTS, PART_ROWS = 256, 250_000
 
 
-def sizes(docs: DataFrame) -> DataFrame:
+def sizes(docs: DataFrame, keep: list[str]) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.conv(F.substring(F.sha2(text, 256), 1, KEY_BITS // 4), 16, 10).cast("long").alias("key"),
+        *([F.struct(*keep).alias("row")] if keep else []),
     )
 
 
@@ -135,9 +136,9 @@ def cuts(groups: DataFrame, shards: int) -> list[int]:
     return [units[e - 1][1] if e else -1 for e in ends]
 
 
-def shard(spark: SparkSession, docs: DataFrame, shards: int = 40) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs."""
-    rows = cut(spark, sizes(docs), "sizes")
+def shard(spark: SparkSession, docs: DataFrame, shards: int = 40, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs, and the columns in keep."""
+    rows = cut(spark, sizes(docs, keep or []), "sizes")
     groups = cut(spark, rows.groupBy("key").agg(F.sum("size").alias("bytes")), "groups")
     total, count = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
     # a group over the fair share of what is left has a shard of its own; there are fewer of these than shards
@@ -155,10 +156,10 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = 40) -> DataFrame:
         number = number + (F.col("key") > end).cast("int")
     for i, key in enumerate(large):
         number = F.when(F.col("key") == key, i).otherwise(number)
-    return placed(spark, rows.withColumn("shard", number.cast("int")), shards)
+    return placed(rows.withColumn("shard", number.cast("int")), shards, bool(keep))
 
 
-def placed(spark: SparkSession, rows: DataFrame, shards: int) -> DataFrame:
+def placed(rows: DataFrame, shards: int, keep: bool) -> DataFrame:
     parts = max(PARTS, -(-rows.count() // (shards * PART_ROWS)))
     part: Column = F.pmod(F.xxhash64("doc_id", "key"), F.lit(parts)).cast("int")
     rows = rows.withColumn("part", part)
@@ -169,5 +170,5 @@ def placed(spark: SparkSession, rows: DataFrame, shards: int) -> DataFrame:
     return (
         rows.withColumn("place", place)
         .join(F.broadcast(offsets), ["shard", "part"])
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.col("place") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.col("place") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *(["row.*"] if keep else []))
     )
