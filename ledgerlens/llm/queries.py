@@ -10,6 +10,7 @@ from ledgerlens.llm.common import documents
 from ledgerlens.llm.decontaminate import leaks
 from ledgerlens.llm.jaccard import jaccard_groups
 from ledgerlens.llm.language import languages
+from ledgerlens.llm.lines import LINES_SQL, removed_lines
 from ledgerlens.llm.mixing import MIX_SQL, mix
 from ledgerlens.llm.quality import quality
 from ledgerlens.llm.sharding import shard
@@ -23,6 +24,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(spark, documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_lines(spark, documents(spark, sf_dir))
+
+
 def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -56,8 +61,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_benchmark_leaks, op4_mix, op5_repeated_words, op6_jaccard_join, op7_shards, op8_language, op9_repeated_bytes, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_repeated_lines, op3_benchmark_leaks, op4_mix, op5_repeated_words, op6_jaccard_join, op7_shards, op8_language, op9_repeated_bytes, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix": MIX_SQL}
+    return {"op2_repeated_lines": LINES_SQL, "op4_mix": MIX_SQL}
