@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +48,10 @@ def cut(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of steps whose results have been written by cut()."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what Python lets go of in the first round, the JVM finds in the second
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def parts(spark: SparkSession) -> int:
@@ -58,19 +63,30 @@ def text_key(text: Column) -> Column:
     return F.conv(F.hex(F.substring(digest(text), 1, 8)), 16, -10).cast("long")
 
 
+def _without_own_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[bytes] = set()
+    for batch in batches:
+        fresh = []
+        for one in batch.column(0).to_pylist():
+            fresh.append(one not in seen)
+            seen.add(one)
+        yield batch.filter(pa.array(fresh, pa.bool_()))
+
+
 def distinct_texts(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
-    """A table (digest, key, text, copies) with one row per different text, bucketed by key.
+    """A table (digest, key, text) with one row per different text, bucketed by key.
 
     The one shuffle of whole texts that the repeat finders need: later passes join it
     by key to lists of positions, which are dealt to its buckets, and the texts stay put.
-    Copies meet map-side first, so a group with a third of all rows is no hot task.
+    Each task drops its own copies first, so a text that a third of all rows have is sent once a task.
     """
     text = F.coalesce("text", F.lit(""))
-    one = docs.select(digest(text).alias("digest"), text.alias("text")).groupBy("digest").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    keyed = one.select("digest", F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long").alias("key"), "text", "copies")
+    one = docs.select(digest(text).alias("digest"), text_key(text).alias("key"), text.alias("text"))
     table = f"{name}_{uuid.uuid4().hex}"
     (
-        keyed.repartition(parts(spark), "key")
+        one.mapInArrow(_without_own_copies, "digest binary, key long, text string")
+        .repartition(parts(spark), "key")
+        .dropDuplicates(["key", "digest"])
         .write.option("compression", "zstd")
         .option("path", f"{shared_dir(spark)}/{table}")
         .bucketBy(parts(spark), "key")

@@ -60,14 +60,14 @@ def by_doubling(spark: SparkSession, repeats: Repeats, texts: DataFrame, name: s
         again = pairs.groupBy("r1", "r2").count().filter(F.col("count") > 1).select("r1", "r2")
         state = cut(spark, pairs.join(again, ["r1", "r2"], "left_semi"), f"{name}-ranks{step}")
         settled.append(state.filter(F.col("end") - F.col("at") >= repeats.n).select("key", F.col("at").alias("s"), (F.col("end") - repeats.n).alias("e")))
+        release(spark)
         step *= 2
-    release(spark)
     none = F.lit(None)
     runs = live.select("key", none.cast("struct<s: int, e: int>").alias("done"), F.struct(F.col("r1").alias("name"), "at", "s", "e").alias("run"))
     for rows in settled:
         runs = runs.unionByName(rows.select("key", F.struct("s", "e").alias("done"), none.cast("struct<name: long, at: int, s: int, e: int>").alias("run")))
     lists = runs.groupBy("key").agg(F.collect_list("done").alias("done"), F.collect_list("run").alias("runs"))
-    return lists.mapInArrow(_settle, "name long, key long, at int, s int, e int, again boolean")
+    return lists.mapInArrow(_settle, "name long, key long, at int, s int, e int, again boolean").withColumn("first", F.lit(True))
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

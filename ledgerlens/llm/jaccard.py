@@ -64,7 +64,7 @@ def grams(texts: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]:
     return h[new], text[new]
 
 
-def frequent_grams(texts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+def frequent_grams(spark: SparkSession, texts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of frequent n-grams in ascending order, and how often tasks have seen each. A hint for the order only."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +82,7 @@ def frequent_grams(texts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray,
                     yield out()
         yield out()
 
-    seen = texts.select("text").mapInArrow(tally, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    seen = cut(spark, texts.select("text").mapInArrow(tally, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")), "frequent")
     classed = seen.groupBy(F.floor(F.log2("n") * 4).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("low")).collect()
     total, least = 0, 2**62
     for row in sorted(classed, key=lambda r: -r.b):
@@ -97,7 +97,7 @@ def frequent_grams(texts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray,
 
 
 def regions(texts: DataFrame, frequent) -> DataFrame:
-    """g, key, n, place: each text in the regions of the first quarter of its n-grams."""
+    """g, key, at (number of n-grams << 32 | place of g): each text in the regions of the first quarter of its n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count = frequent.value
@@ -115,9 +115,13 @@ def regions(texts: DataFrame, frequent) -> DataFrame:
                 # a partner has at least 3/4 of the n-grams in common: the first common one is no further back
                 early = place <= n[text] - -(-3 * n[text] // 4)
                 h, text, place = h[early], text[early], place[early]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(pa.array(text)), pa.array(n[text], pa.int32()), pa.array(place, pa.int32())], names=["g", "key", "n", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(pa.array(text)), pa.array(n[text] << 32 | place)], names=["g", "key", "at"])
 
-    return texts.select("key", "text").mapInArrow(run, "g long, key long, n int, place int")
+    return texts.select("key", "text").mapInArrow(run, "g long, key long, at long")
+
+
+def unpacked(at: str) -> list[Column]:
+    return [F.shiftright(at, 32).cast("int").alias("n"), F.col(at).bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("place")]
 
 
 def possible(a: str, b: str) -> Column:
@@ -149,12 +153,12 @@ def linked() -> Column:
 
 def links(spark: SparkSession, texts: DataFrame) -> DataFrame:
     """v, c: the component of every text that is linked with a different one."""
-    frequent = spark.sparkContext.broadcast(frequent_grams(texts))
+    frequent = spark.sparkContext.broadcast(frequent_grams(spark, texts))
     rows = regions(texts, frequent)
     region = Window.partitionBy("g")
-    head = F.min(F.struct("key", "n", "place")).over(region)
+    head = F.min(F.struct("key", "at")).over(region)
     shared = rows.withColumn("p", head).withColumn("many", F.count(F.lit(1)).over(region)).filter("many > 1")
-    shared = cut(spark, shared.select("g", "key", "n", "place", "p"), "regions")
+    shared = cut(spark, shared.select("g", "key", *unpacked("at"), F.struct("p.key", *unpacked("p.at")).alias("p")), "regions")
     release(spark)
     near = shared.select(F.struct("key", "n", "place").alias("m"), "p").filter(F.col("m.key") != F.col("p.key"))
     stars = near.filter(possible("m", "p")).select(F.col("p.key").alias("a"), F.col("m.key").alias("b")).distinct()

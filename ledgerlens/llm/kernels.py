@@ -13,7 +13,7 @@ SEPARATORS = (9, 10, 11, 12, 13, 32)
 SEP = np.zeros(256, bool)
 SEP[list(SEPARATORS)] = True
 #: Bytes of text that one call of a kernel gets (or one text, if that is longer).
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 _LANES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _BYTES = [np.random.default_rng(40 + i).integers(0, 2**64, 256, dtype=U) for i in range(2)]

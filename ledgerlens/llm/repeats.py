@@ -143,31 +143,39 @@ class Repeats:
     def find(self, spark: SparkSession, texts: DataFrame, first: Callable[[SparkSession, Repeats, DataFrame, str], DataFrame], name: str) -> DataFrame:
         """key, runs (s, e): all windows s to e of the text that occur again in these texts; texts without any are left out.
 
-        first: makes name, key, at, s, e, again for the windows s to e of every anchor that may occur again;
-        again: all of them do.
+        first: makes name, key, at, s, e, again, first for the windows s to e of every anchor that may occur again;
+        again: all of them do; first: whether it stands for all rows with the same symbols (true where that is not known).
         """
         rows = cut(spark, first(spark, self, texts, name), f"{name}-runs")
         release(spark)
         settled = [rows.filter("again").select("key", "s", "e")]
         for step, size in enumerate(self.blocks):
+            # of settled rows with the same whole one is enough to meet open windows in
             open_ = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max(~F.col("again")).alias("open")).filter("n > 1 and open").select("name")
-            lists = rows.join(open_, "name", "left_semi").groupBy("key").agg(F.collect_list(F.struct("at", "s", "e", "again")).alias("runs"))
+            lists = rows.filter("first or not again").join(open_, "name", "left_semi").groupBy("key").agg(F.collect_list(F.struct("at", "s", "e", "again")).alias("runs"))
             blocks = cut(spark, self.split(texts, lists, size), f"{name}-blocks{step}")
             release(spark)
-            rows = flagged(blocks).withColumn("again", F.col("again") | F.col("known"))
             if size > 1:
-                rows = cut(spark, rows, f"{name}-rows{step}")
-            settled.append(rows.filter("again and not known").select("key", "s", "e"))
+                rows = cut(spark, flagged(blocks).withColumn("again", F.col("again") | F.col("known")), f"{name}-rows{step}")
+                settled.append(rows.filter("again and not known").select("key", "s", "e"))
+            else:
+                again = twice(blocks).select("w1", "w2")
+                settled.append(blocks.filter("not known").join(again, ["w1", "w2"], "left_semi").select("key", "s", "e"))
         every = settled[0]
         for more in settled[1:]:
             every = every.unionByName(more)
         return every.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
 
 
+def twice(rows: DataFrame) -> DataFrame:
+    """w1, w2, one: the wholes that occur more than once, and a number of the row that stands for them."""
+    return rows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("key", "s")).alias("one")).filter("n > 1").select("w1", "w2", "one")
+
+
 def flagged(rows: DataFrame) -> DataFrame:
-    """rows with a column `again` that tells if their whole (w1, w2) occurs more than once."""
-    twice = rows.groupBy("w1", "w2").count().filter(F.col("count") > 1).select("w1", "w2", F.lit(True).alias("again"))
-    return rows.join(twice, ["w1", "w2"], "left").withColumn("again", F.coalesce("again", F.lit(False))).drop("w1", "w2")
+    """rows with `again`, which tells if their whole (w1, w2) occurs more than once, and `first`, of one of its rows."""
+    found = rows.join(twice(rows), ["w1", "w2"], "left").withColumn("again", F.col("one").isNotNull())
+    return found.withColumn("first", F.coalesce(F.xxhash64("key", "s") == F.col("one"), F.lit(True))).drop("w1", "w2", "one")
 
 
 def joined(texts: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:

@@ -34,6 +34,8 @@ from ledgerlens.llm.repeats import Repeats, bytes_of, covered, flagged, joined,
 
 #: Cells of the sketch. Two anchors share one with a probability of 2**-44.
 WIDTH = 1 << 44
+#: The SHA-256 of nothing.
+EMPTY = hashlib.sha256(b"").hexdigest()
 
 
 def by_sketch(spark: SparkSession, repeats: Repeats, texts: DataFrame, name: str) -> DataFrame:
@@ -61,16 +63,18 @@ def removed_words(spark: SparkSession, docs: DataFrame, n: int = 35) -> DataFram
         for whole in batches:
             for batch in K.pieces(whole):
                 out = []
-                for text, copies, found in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+                for text, found in zip(batch.column(1), batch.column(2), strict=True):
                     data = text.as_py().encode()
                     buf = np.frombuffer(data, np.uint8)
                     starts, ends, _ = K.spans(buf, np.array([0, len(buf)]))
-                    gone = _gone(len(starts), copies.as_py(), found, n)
+                    gone = _gone(len(starts), found, n)
                     kept = b" ".join(data[a:b] for a, b in zip(starts[~gone].tolist(), ends[~gone].tolist(), strict=True))
                     out.append((len(starts), int(gone.sum()), hashlib.sha256(kept).hexdigest()))
                 yield _batch(batch, out, ["n_words", "n_removed", "kept_sha256"])
 
-    return _per_row(spark, docs, texts, runs, rows, "n_words long, n_removed long, kept_sha256 string")
+    found = _per_row(spark, docs, texts, runs, rows, "n_words long, n_removed long, kept_sha256 string")
+    whole = (F.col("copies") > 1) & (F.col("n_words") >= n)
+    return found.select("doc_id", "n_words", F.when(whole, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(whole, EMPTY).otherwise(F.col("kept_sha256")).alias("kept_sha256"))
 
 
 def removed_bytes(spark: SparkSession, docs: DataFrame, n: int = 200) -> DataFrame:
@@ -84,19 +88,20 @@ def removed_bytes(spark: SparkSession, docs: DataFrame, n: int = 200) -> DataFra
         for whole in batches:
             for batch in K.pieces(whole):
                 out = []
-                for text, copies, found in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+                for text, found in zip(batch.column(1), batch.column(2), strict=True):
                     buf = np.frombuffer(text.as_py().encode(), np.uint8)
-                    gone = _gone(len(buf), copies.as_py(), found, n)
+                    gone = _gone(len(buf), found, n)
                     spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
                     out.append((len(buf), int(gone.sum()), spans, hashlib.sha256(buf[~gone].tobytes()).hexdigest()))
                 yield _batch(batch, out, ["n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _per_row(spark, docs, texts, runs, rows, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = _per_row(spark, docs, texts, runs, rows, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= n)
+    all_of_it = {"n_removed": F.col("n_bytes"), "n_spans": F.lit(1).cast("long"), "kept_sha256": F.lit(EMPTY)}
+    return found.select("doc_id", "n_bytes", *[F.when(whole, value).otherwise(F.col(c)).alias(c) for c, value in all_of_it.items()])
 
 
-def _gone(length: int, copies: int, found: pa.Scalar, n: int) -> np.ndarray:
-    if copies > 1 and length >= n:
-        return np.ones(length, bool)
+def _gone(length: int, found: pa.Scalar, n: int) -> np.ndarray:
     if not found.is_valid:
         return np.zeros(length, bool)
     runs = found.values
@@ -109,7 +114,9 @@ def _batch(batch: pa.RecordBatch, out: list[tuple], names: list[str]) -> pa.Reco
 
 
 def _per_row(spark: SparkSession, docs: DataFrame, texts: DataFrame, runs: DataFrame, rows, schema: str) -> DataFrame:
-    """The result of each text, for each row that has it."""
-    results = joined(texts, runs, "left").select("digest", "text", "copies", "runs").mapInArrow(rows, f"digest binary, {schema}")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("digest"))
-    return keyed.join(cut(spark, results, "removed"), "digest").drop("digest")
+    """The result of each text and how many rows have it, for each row that has it."""
+    results = cut(spark, joined(texts, runs, "left").select("digest", "text", "runs").mapInArrow(rows, f"digest binary, {schema}"), "removed")
+    release(spark)
+    keyed = cut(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("digest")), "digests")
+    copies = keyed.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
+    return keyed.join(results.join(copies, "digest"), "digest").drop("digest")
