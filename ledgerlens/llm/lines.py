@@ -85,7 +85,7 @@ def removed_lines(spark: SparkSession, docs: DataFrame, least: int = MIN_LINES)
             columns = zip(*out, strict=True) if out else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_lines", "n_removed", "kept_sha256"])
 
-    rows = _owned(docs, F.col("doc_id").cast("long").alias("doc_id"), "text").join(late, _OWNER, "left")
+    rows = _owned(docs, F.col("doc_id").cast("long").alias("doc_id"), "text").join(late.hint("merge"), _OWNER, "left")
     return rows.select("doc_id", "text", "starts").mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
 
 
