@@ -152,6 +152,7 @@ class Repeats:
         for step, size in enumerate(self.blocks):
             # of settled rows with the same whole one is enough to meet open windows in
             open_ = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max(~F.col("again")).alias("open")).filter("n > 1 and open").select("name")
+            open_ = cut(spark, open_, f"{name}-open{step}")  # a table of its own: a join that shares no shuffle with it can split a hot name
             lists = rows.filter("first or not again").join(open_, "name", "left_semi").groupBy("key").agg(F.collect_list(F.struct("at", "s", "e", "again")).alias("runs"))
             blocks = cut(spark, self.split(texts, lists, size), f"{name}-blocks{step}")
             release(spark)
@@ -159,7 +160,7 @@ class Repeats:
                 rows = cut(spark, flagged(blocks).withColumn("again", F.col("again") | F.col("known")), f"{name}-rows{step}")
                 settled.append(rows.filter("again and not known").select("key", "s", "e"))
             else:
-                again = twice(blocks).select("w1", "w2")
+                again = cut(spark, twice(blocks).select("w1", "w2"), f"{name}-again{step}")
                 settled.append(blocks.filter("not known").join(again, ["w1", "w2"], "left_semi").select("key", "s", "e"))
         every = settled[0]
         for more in settled[1:]:
@@ -174,7 +175,7 @@ def twice(rows: DataFrame) -> DataFrame:
 
 def flagged(rows: DataFrame) -> DataFrame:
     """rows with `again`, which tells if their whole (w1, w2) occurs more than once, and `first`, of one of its rows."""
-    found = rows.join(twice(rows), ["w1", "w2"], "left").withColumn("again", F.col("one").isNotNull())
+    found = rows.join(cut(rows.sparkSession, twice(rows), "twice"), ["w1", "w2"], "left").withColumn("again", F.col("one").isNotNull())
     return found.withColumn("first", F.coalesce(F.xxhash64("key", "s") == F.col("one"), F.lit(True))).drop("w1", "w2", "one")
 
 
