@@ -10,9 +10,11 @@ inside:
    documents that have it in that part. A document is replicated to each of its regions.
 2. In each region a pivot is chosen and the others' distances to it are computed. Those within 0.25 form
    its ball: they are all joined through it and need no comparison with each other.
-3. What lies in one region but in different components after that is joined again, each document with those
-   that the triangle inequality (distances to the region's pivot differ by 0.25 at most), the sizes and the places
-   of the shared n-gram leave possible. Every such pair is compared exactly, so no link is lost.
+3. A region whose documents are in different components after that is joined again, recursively. New pivots are
+   taken from the smaller components and compared with those documents of other components that the triangle
+   inequality (distances to the first pivot differ by 0.25 at most), the sizes and the places of the shared n-gram
+   leave possible; then they leave the region. A small region is joined whole, and all are once few members of other components are left. It ends when each region is in
+   one component or empty, so every pair that could be a link has been compared or is joined already.
 
 The order only directs work: any order gives the same links. Texts that are equal are looked at once.
 
@@ -40,6 +42,9 @@ from ledgerlens.llm.repeats import joined
 N = 5
 #: The most n-grams that are told to every task as frequent, and how often one must occur in one task to be counted.
 FREQUENT, OFTEN = 200_000, 3
+#: The greatest distance of a link. A region of LEAF documents is joined without further pivots, and so are all when
+#: what can be met there is no more than WHOLE times the documents in regions.
+FAR, LEAF, WHOLE = 0.25, 16, 4
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -96,25 +101,31 @@ def frequent_grams(spark: SparkSession, texts: DataFrame, most: int = FREQUENT)
     return g[order], found["n"].to_numpy(np.int64)[order]
 
 
+def early_grams(keys: int, texts: pa.Array, known: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams of the first quarter of each text in the order of the corpus, their text and place; and each text's number of n-grams.
+
+    Of a text with n of them these are n - ceil(3n/4) + 1: a partner has 3/4 in common, so the first common one is among them.
+    """
+    h, text = grams(texts)
+    often = np.zeros(len(h), np.int64)
+    if len(known) and len(h):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        often = np.where(known[at] == h, count[at], 0)
+    order = np.lexsort((h, often, text))
+    h, text = h[order], text[order]
+    n = np.bincount(text, minlength=keys)
+    place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+    early = place <= n[text] - -(-3 * n[text] // 4)
+    return h[early], text[early], place[early], n
+
+
 def regions(texts: DataFrame, frequent) -> DataFrame:
     """g, key, at (number of n-grams << 32 | place of g): each text in the regions of the first quarter of its n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count = frequent.value
         for whole in batches:
             for batch in K.pieces(whole):
-                h, text = grams(batch.column(1))
-                often = np.zeros(len(h), np.int64)
-                if len(known) and len(h):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    often = np.where(known[at] == h, count[at], 0)
-                order = np.lexsort((h, often, text))
-                h, text = h[order], text[order]
-                n = np.bincount(text, minlength=batch.num_rows)
-                place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-                # a partner has at least 3/4 of the n-grams in common: the first common one is no further back
-                early = place <= n[text] - -(-3 * n[text] // 4)
-                h, text, place = h[early], text[early], place[early]
+                h, text, place, n = early_grams(batch.num_rows, batch.column(1), *frequent.value)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(pa.array(text)), pa.array(n[text] << 32 | place)], names=["g", "key", "at"])
 
     return texts.select("key", "text").mapInArrow(run, "g long, key long, at long")
@@ -130,21 +141,57 @@ def possible(a: str, b: str) -> Column:
     return 7 * left >= 3 * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
-def compared(spark: SparkSession, texts: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """a, b, common, total (of n-grams): pairs whose a and b have been compared."""
+def _lists(first: np.ndarray, h: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64)))
+
+
+def plausible(spark: SparkSession, texts: DataFrame, pairs: DataFrame, frequent, name: str) -> DataFrame:
+    """a, b, ok: whether enough of the first quarters' n-grams is common for a link.
+
+    All that two texts have in common is in both first quarters, or in the later part of the one whose first quarter ends earlier.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in K.pieces(whole):
-                h, text = grams(batch.column(1))
+                h, text, _, n = early_grams(batch.num_rows, batch.column(1), *frequent.value)
                 first = np.searchsorted(text, np.arange(batch.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64)))], names=["key", "grams"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), _lists(first, h)], names=["key", "n", "early"])
+
+    early = cut(spark, joined(texts, _keys(pairs)).select("key", "text").mapInArrow(run, "key long, n long, early array<long>"), f"{name}-early")
+    both = _both(pairs, early, "n", "early")
+    later = F.greatest(F.col("x.n") - F.size("x.early"), F.col("y.n") - F.size("y.early"))
+    enough = 7 * (F.size(F.array_intersect("x.early", "y.early")) + later) >= 3 * (F.col("x.n") + F.col("y.n"))
+    return cut(spark, both.select("a", "b", enough.alias("ok")), f"{name}-plausible")
+
 
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = cut(spark, joined(texts, keys).select("key", "text").mapInArrow(run, "key long, grams array<long>"), f"{name}-sets")
-    first = pairs.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a")
-    both = first.join(sets.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b")
-    return both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("total"))
+def _keys(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+
+
+def _both(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """pairs with x and y, the columns of a and b."""
+    first = pairs.join(rows.select(F.col("key").alias("a"), F.struct(*columns).alias("x")), "a")
+    return first.join(rows.select(F.col("key").alias("b"), F.struct(*columns).alias("y")), "b")
+
+
+def compared(spark: SparkSession, texts: DataFrame, pairs: DataFrame, frequent, name: str) -> DataFrame:
+    """a, b, common, total (of n-grams): pairs that have been compared; common is null where a link is out of the question."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in K.pieces(whole):
+                h, text = grams(batch.column(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), _lists(np.searchsorted(text, np.arange(batch.num_rows + 1)), h)], names=["key", "grams"])
+
+    judged = plausible(spark, texts, pairs, frequent, name)
+    release(spark)
+    close = judged.filter("ok").select("a", "b")
+    sets = cut(spark, joined(texts, _keys(close)).select("key", "text").mapInArrow(run, "key long, grams array<long>"), f"{name}-sets")
+    both = _both(close, sets, "grams")
+    done = both.select("a", "b", F.size(F.array_intersect("x.grams", "y.grams")).alias("common"), (F.size("x.grams") + F.size("y.grams")).alias("total"))
+    none = F.lit(None).cast("int")
+    return done.unionByName(judged.filter("not ok").select("a", "b", none.alias("common"), none.alias("total")))
 
 
 def linked() -> Column:
@@ -156,27 +203,61 @@ def links(spark: SparkSession, texts: DataFrame) -> DataFrame:
     frequent = spark.sparkContext.broadcast(frequent_grams(spark, texts))
     rows = regions(texts, frequent)
     region = Window.partitionBy("g")
-    head = F.min(F.struct("key", "at")).over(region)
-    shared = rows.withColumn("p", head).withColumn("many", F.count(F.lit(1)).over(region)).filter("many > 1")
-    shared = cut(spark, shared.select("g", "key", *unpacked("at"), F.struct("p.key", *unpacked("p.at")).alias("p")), "regions")
+    # the first pivot has its n-gram earliest: it can be near to most
+    head = F.min(F.struct(F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("place"), "key", "at")).over(region)
+    least = F.min(F.shiftright("at", 32)).over(region)
+    shared = rows.withColumn("p", head).withColumn("least", least).withColumn("many", F.count(F.lit(1)).over(region)).filter("many > 1")
+    shared = shared.select("g", "key", *unpacked("at"), F.struct("p.key", *unpacked("p.at")).alias("p"), "least")
+    # who cannot be near to the smallest there can be near to nobody there
+    shared = cut(spark, shared.filter(7 * (F.col("n") - F.col("place")) >= 3 * (F.col("n") + F.col("least"))).drop("least"), "regions")
     release(spark)
     near = shared.select(F.struct("key", "n", "place").alias("m"), "p").filter(F.col("m.key") != F.col("p.key"))
-    stars = near.filter(possible("m", "p")).select(F.col("p.key").alias("a"), F.col("m.key").alias("b")).distinct()
-    known = cut(spark, compared(spark, texts, cut(spark, stars, "stars"), "stars"), "known")
+    pairs = near.filter(possible("m", "p")).select(*_pair("p.key", "m.key")).distinct()
+    known = cut(spark, compared(spark, texts, cut(spark, pairs, "pairs"), frequent, "star"), "known")
     release(spark)
-    first = cut(spark, components(spark, known.filter(linked()).select("a", "b"), "first"), "first")
-    # regions with more than one component
-    labelled = shared.select("g", "key", "n", "place", F.col("p.key").alias("p")).join(first.select(F.col("v").alias("key"), "c"), "key", "left").withColumn("c", F.coalesce("c", "key"))
-    labelled = cut(spark, labelled, "labelled")
-    mixed = labelled.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("k")).filter("low <> high and k > 2").select("g")
-    far = known.select(F.col("a").alias("p"), F.col("b").alias("key"), (1 - F.col("common") / (F.col("total") - F.col("common"))).alias("d"))
-    open_ = cut(spark, labelled.join(mixed, "g", "left_semi").join(far, ["p", "key"], "left"), "open")
-    window = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= 0.25 + 1e-9, F.lit(True))
-    apart = (F.col("x.key") < F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.key") != F.col("x.p"))
-    rest = open_.alias("x").join(open_.alias("y"), (F.col("x.g") == F.col("y.g")) & apart & possible("x", "y") & window)
-    rest = rest.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-    more = compared(spark, texts, cut(spark, rest, "rest"), "rest")
-    return components(spark, known.unionByName(more).filter(linked()).select("a", "b"), "all")
+    # the first pivot has been compared with all that it can be near to
+    open_ = shared.filter(F.col("key") != F.col("p.key")).select("g", "key", "n", "place", F.col("p.key").alias("p"))
+    size, pivots = shared.count(), 2
+    for step in range(1, 1000):
+        found = cut(spark, components(spark, known.filter(linked()).select("a", "b"), f"found{step}"), f"found{step}")
+        labelled = open_.join(found.select(F.col("v").alias("key"), "c"), "key", "left").withColumn("c", F.coalesce("c", "key"))
+        share = labelled.groupBy("g", "c").agg(F.count(F.lit(1)).alias("own"))
+        mixed = share.groupBy("g").agg(F.sum("own").alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+        far = known.select(F.col("a").alias("p"), F.col("b").alias("key"), _distance().alias("d")).unionByName(known.select(F.col("b").alias("p"), F.col("a").alias("key"), _distance().alias("d")))
+        open_ = cut(spark, labelled.join(mixed.select("g", "m"), "g").join(share, ["g", "c"]).join(far, ["p", "key"], "left"), f"open{step}")
+        # members of a region's other components, summed up: twice the pairs that joining all of them whole can give
+        left = open_.agg(F.coalesce(F.sum(F.col("m") - F.col("own")), F.lit(0))).first()[0]
+        if not left:
+            return found
+        small = F.lit(True) if left <= WHOLE * size else F.col("m") <= LEAF
+        order = Window.partitionBy("g").orderBy("own", F.xxhash64("key", F.lit(step)), "key")
+        chosen = cut(spark, open_.filter(~small).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= pivots), f"pivots{step}")
+        leaf = open_.filter(small)
+        met = _met(chosen, open_.filter(~small), F.lit(True)).unionByName(_met(leaf, leaf, F.col("x.key") < F.col("y.key")))
+        pairs = met.distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+        more = compared(spark, texts, cut(spark, pairs, f"pairs{step}"), frequent, f"round{step}")
+        known = cut(spark, known.unionByName(more), f"known{step}")
+        # pivots have been compared with all that they can be near to
+        open_ = open_.filter(~small).join(chosen.select("g", "key"), ["g", "key"], "left_anti").select("g", "key", "n", "place", "p")
+        pivots = pivots * 2 if step > 2 else pivots
+        release(spark)
+    raise RuntimeError("regions do not become smaller")
+
+
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _distance() -> Column:
+    return 1 - F.col("common") / (F.col("total") - F.col("common"))
+
+
+def _met(x: DataFrame, y: DataFrame, order: Column) -> DataFrame:
+    """a, b: members of one region in different components that can be near each other."""
+    window = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= FAR + 1e-9, F.lit(True))
+    apart = (F.col("x.c") != F.col("y.c")) & (F.col("x.key") != F.col("y.key"))
+    met = x.alias("x").join(y.alias("y"), (F.col("x.g") == F.col("y.g")) & apart & order & possible("x", "y") & window)
+    return met.select(*_pair("x.key", "y.key"))
 
 
 def grouped(spark: SparkSession, docs: DataFrame) -> DataFrame:
