@@ -15,14 +15,12 @@ from ledgerlens.llm.language import accepted
 from ledgerlens.llm.mixing import mixed
 from ledgerlens.llm.sharding import shard
 
-#: The least language score that is accepted: texts of several languages and short ones pass, texts of no language do not.
-LANGUAGE_SCORE = 0.4
 SHARDS = 40
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of no known language, go."""
-    return accepted(spark, docs, LANGUAGE_SCORE)
+    """Documents of no language (`und`) go. Texts in several languages are clean and have low scores, so scores reject nothing."""
+    return accepted(spark, docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

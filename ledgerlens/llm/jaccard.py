@@ -279,7 +279,7 @@ def grouped(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def jaccard_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     rows = grouped(spark, docs)
-    least = rows.filter("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    least = cut(spark, rows.filter("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("component_id")), "least")
     return rows.join(least, "c", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

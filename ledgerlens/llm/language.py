@@ -264,8 +264,8 @@ def languages(spark: SparkSession, docs: DataFrame, **sample) -> DataFrame:
     return docs.select("doc_id", held_out().alias("held_out"), "text", _letter().alias("letter")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def accepted(spark: SparkSession, docs: DataFrame, least: float, **sample) -> DataFrame:
-    """The rows of docs whose language is known with a score of `least` or more. Without labels to learn from, all that have a letter."""
+def accepted(spark: SparkSession, docs: DataFrame, **sample) -> DataFrame:
+    """The rows of docs that are predicted a language, not `und`. Without labels to learn from, all that have a letter."""
     model = spark.sparkContext.broadcast(fit(docs.select("doc_id", "text", "lang"), **sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,8 +273,8 @@ def accepted(spark: SparkSession, docs: DataFrame, least: float, **sample) -> Da
         for whole in batches:
             for batch in K.pieces(whole):
                 letter = batch.column(batch.num_columns - 1)
-                pred, score = label(batch.column(batch.schema.get_field_index("text")), letter)
-                keep = score >= least if label.model else letter.fill_null(False).to_numpy(zero_copy_only=False)
+                pred, _ = label(batch.column(batch.schema.get_field_index("text")), letter)
+                keep = np.array([p != UNKNOWN for p in pred], bool) if label.model else letter.fill_null(False).to_numpy(zero_copy_only=False)
                 rows = batch.filter(pa.array(keep))
                 yield pa.RecordBatch.from_arrays(rows.columns[:-1], names=batch.schema.names[:-1])
 
