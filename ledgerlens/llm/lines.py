@@ -6,6 +6,10 @@ rest, until runs are as long as the threshold. Equal ranks are then the interval
 longest common prefix reaches the threshold, and consecutive members of such intervals are the maximal
 repeated runs. The first copy of each run stays, in the order of doc_id and line, and later ones are deleted.
 
+With `long`, shorter runs of over so many words are removed too, so long single lines and copies of documents of few
+lines count. A maximal run is removed by its number of lines or words just if each of its lines lies in one of the runs
+of `least` lines, or in a shorter one of over `long` words that is the whole of it, so these are all that is ranked.
+
 Lines without a word are no part of a run and stay. Ranks are two 64-bit hashes of what they stand for.
 
 Defined results: null and empty texts have no lines with words, nothing to remove, and the digest of an empty text;
@@ -22,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import cut, release, text_key
+from ledgerlens.llm.common import cut, release, text_key, words
 
 #: Lines in the shortest run that is removed.
 MIN_LINES = 3
+#: Shorter runs are passages, and removed by op2_repeated_passages, if they have more words.
+LONG = 50
 _SPACES = " \t\n\x0b\f\r"
 _OWNER = ["id", "none", "key"]
 
@@ -35,12 +41,12 @@ def _owned(docs: DataFrame, *columns) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), text_key(F.col("text")).alias("key"), *columns)
 
 
-def line_ranks(docs: DataFrame) -> DataFrame:
-    """id, none, key, number (among the lines with words), r1, r2 for every line with words."""
+def line_ranks(docs: DataFrame, counted: bool = False) -> DataFrame:
+    """id, none, key, number (among the lines with words), r1, r2, n (words, if counted) for every line with words."""
     numbered = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.length(F.translate(x, _SPACES, "")) > 0)
-    named = F.transform(numbered, lambda x: F.struct(F.xxhash64(x).alias("r1"), F.xxhash64(F.lit(1), x).alias("r2")))
+    named = F.transform(numbered, lambda x: F.struct(F.xxhash64(x).alias("r1"), F.xxhash64(F.lit(1), x).alias("r2"), *[F.size(words(x)).cast("long").alias("n")] * counted))
     rows = _owned(docs, F.posexplode(named).alias("number", "r"))
-    return rows.select(*_OWNER, "number", "r.r1", "r.r2").dropDuplicates([*_OWNER, "number"])
+    return rows.select(*_OWNER, "number", "r.*").dropDuplicates([*_OWNER, "number"])
 
 
 def _shared(ranks: DataFrame) -> DataFrame:
@@ -48,38 +54,49 @@ def _shared(ranks: DataFrame) -> DataFrame:
     return ranks.join(twice, ["r1", "r2"], "left_semi")
 
 
-def later_copies(spark: SparkSession, docs: DataFrame, least: int) -> DataFrame:
-    """id, none, key, starts: where the runs of `least` lines begin that have a copy before them."""
-    ranks, length = cut(spark, _shared(cut(spark, line_ranks(docs), "lines")), "ranks1"), 1
+def later_copies(spark: SparkSession, docs: DataFrame, least: int, long: int | None = None) -> DataFrame:
+    """id, none, key, starts (number, lines): the runs of `least` lines, or of fewer with over `long` words, that have a copy before them."""
+    counted = long is not None
+    ranks, length = cut(spark, _shared(cut(spark, line_ranks(docs, counted), "lines")), "ranks1"), 1
+    if counted:
+        ranks = ranks.withColumn("last", F.col("n"))  # words of the run's last line
+    runs = []
     while length < least:
-        step = min(length, least - length)
+        if counted:
+            runs.append(ranks.filter(F.col("n") > long).select(*_OWNER, "number", F.lit(length).alias("lines"), "r1", "r2"))
+        # shorter runs of every length count if words do
+        step = 1 if counted else min(length, least - length)
         ahead = Window.partitionBy(*_OWNER).orderBy("number").rangeBetween(step, step)
-        pairs = ranks.withColumn("next", F.first(F.struct("r1", "r2")).over(ahead)).filter(F.col("next").isNotNull())
-        named = pairs.select(*_OWNER, "number", F.xxhash64("r1", F.lit(step), F.col("next.r1")).alias("r1"), F.xxhash64(F.lit(step), "r2", F.col("next.r2")).alias("r2"))
+        pairs = ranks.withColumn("next", F.first(F.struct("r1", "r2", *["last"] * counted)).over(ahead)).filter(F.col("next").isNotNull())
+        size = [(F.col("n") + F.col("next.last")).alias("n"), F.col("next.last").alias("last")] if counted else []
+        named = pairs.select(*_OWNER, "number", F.xxhash64("r1", F.lit(step), F.col("next.r1")).alias("r1"), F.xxhash64(F.lit(step), "r2", F.col("next.r2")).alias("r2"), *size)
         length += step
         ranks = cut(spark, _shared(named), f"ranks{length}")
+    found = ranks.select(*_OWNER, "number", F.lit(length).alias("lines"), "r1", "r2")
+    for shorter in runs:
+        found = found.unionByName(shorter)
     order = F.struct("none", "id", "key", "number")
-    first = ranks.groupBy("r1", "r2").agg(F.min(order).alias("first"))
-    late = ranks.join(first, ["r1", "r2"]).filter(order != F.col("first"))
-    return late.groupBy(*_OWNER).agg(F.collect_list("number").alias("starts"))
+    first = found.groupBy("lines", "r1", "r2").agg(F.min(order).alias("first"))
+    late = found.join(first, ["lines", "r1", "r2"]).filter(order != F.col("first"))
+    return late.groupBy(*_OWNER).agg(F.collect_list(F.struct("number", "lines")).alias("starts"))
 
 
-def removed_lines(spark: SparkSession, docs: DataFrame, least: int = MIN_LINES) -> DataFrame:
+def removed_lines(spark: SparkSession, docs: DataFrame, least: int = MIN_LINES, long: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 for every row of docs."""
-    late = cut(spark, later_copies(spark, docs, least), "late")
+    late = cut(spark, later_copies(spark, docs, least, long), "late")
     release(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc, text, starts in zip(*batch.columns, strict=True):
-                gone = {s + k for s in starts.as_py() or () for k in range(least)}
+                gone = {s["number"] + k for s in starts.as_py() or () for k in range(s["lines"])}
                 lines, kept, number = (text.as_py() or "").split("\n"), [], 0
                 for line in lines:
-                    words = bool(line.strip(_SPACES))
-                    if not (words and number in gone):
+                    worded = bool(line.strip(_SPACES))
+                    if not (worded and number in gone):
                         kept.append(line)
-                    number += words
+                    number += worded
                 out.append((doc.as_py(), number, len(gone), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
             columns = zip(*out, strict=True) if out else [()] * 4
@@ -117,3 +134,35 @@ SELECT d.doc_id,
        sha256(coalesce(k.kept_text, '')) AS kept_sha256
 FROM documents d LEFT JOIN kept k USING (doc_id)
 """
+
+#: The same for runs of three lines, or of one or two with over 50 words.
+PASSAGES_SQL = """
+WITH split AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (
+  SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM split),
+numbered AS (
+  SELECT doc_id, line, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS number
+  FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+runs AS (
+  SELECT doc_id, number, line AS a, lead(line, 1) OVER w AS b, lead(line, 2) OVER w AS c,
+         len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS n, lead(n, 1) OVER w AS m
+  FROM numbered WINDOW w AS (PARTITION BY doc_id ORDER BY number)),
+copies AS (
+  SELECT doc_id, number, 3 AS size, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, number) AS copy
+  FROM runs WHERE c IS NOT NULL
+  UNION ALL SELECT doc_id, number, 2, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, number) FROM runs WHERE n + m > 50
+  UNION ALL SELECT doc_id, number, 1, row_number() OVER (PARTITION BY a ORDER BY doc_id, number) FROM runs WHERE n > 50),
+gone AS (
+  SELECT DISTINCT doc_id, number + k AS number FROM copies, (VALUES (0), (1), (2)) t(k) WHERE copy > 1 AND k < size),
+kept AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS kept_text
+  FROM lines l LEFT JOIN numbered n ON n.doc_id = l.doc_id AND n.pos = l.pos
+       LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.number = n.number
+  WHERE g.number IS NULL GROUP BY l.doc_id)
+SELECT d.doc_id,
+       (SELECT count(*) FROM numbered n WHERE n.doc_id = d.doc_id) AS n_lines,
+       (SELECT count(*) FROM gone g WHERE g.doc_id = d.doc_id) AS n_removed,
+       sha256(coalesce(k.kept_text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id)
+"""
