@@ -68,6 +68,13 @@ def utxo_list(spark, d):
     return ledger.unspent(points.filter("account < 50"), spent).select("account", "tx", "vout", "value")
 
 
+@query("txs outs points", "SELECT account, tx, vout, value FROM points WHERE NOT spent")
+def utxo_list_all(spark, d):
+    """utxo_list of every account."""
+    points = T.outpoints(spark, d)
+    return ledger.unspent(points, points.filter("spent").select("tx", "vout")).select("account", "tx", "vout", "value")
+
+
 @query("txs outs points", "SELECT tx, vout, account, value FROM points WHERE spent")
 def spend_resolution(spark, d):
     points = T.outpoints(spark, d)
@@ -213,6 +220,13 @@ def tx_num_to_height(spark, d):
     return chain.height_of(spark.range(300).select((F.col("id") * 7).alias("number")), chain.blocks(T.txs(spark, d)))
 
 
+@query("txs", "SELECT n.number, b.height FROM (SELECT unnest(range((SELECT count(*) FROM txs))) AS number) n ASOF JOIN (SELECT height, sum(count(*)) OVER (ORDER BY height ROWS UNBOUNDED PRECEDING)::BIGINT - count(*) AS first FROM txs GROUP BY height) b ON n.number >= b.first")
+def tx_num_to_height_all(spark, d):
+    """tx_num_to_height of every transaction."""
+    t = T.txs(spark, d)
+    return chain.height_of(spark.range(t.count()).select(F.col("id").alias("number")), chain.blocks(t))
+
+
 @query("txs", "SELECT height, count(*) AS n_tx FROM txs WHERE height > greatest(0, (SELECT max(height) FROM txs) - 25) GROUP BY height ORDER BY height DESC")
 def recent_blocks(spark, d):
     t = T.txs(spark, d)

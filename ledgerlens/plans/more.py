@@ -27,6 +27,17 @@ def refs_by_outpoint(spark, d):
     return points.filter("account < 30").select("tx", "vout").join(pool, ["tx", "vout"], "left").join(done, ["tx", "vout"], "left").select("tx", "vout", F.coalesce("m", "c").alias("ref"))
 
 
+@query(
+    "txs outs points",
+    f"""SELECT p.tx, p.vout, coalesce(m.token, c.token) AS ref FROM points p LEFT JOIN (SELECT tx, vout, token FROM points WHERE height >= {POOL}) m USING (tx, vout) LEFT JOIN (SELECT tx, vout, token FROM points WHERE height < {POOL}) c USING (tx, vout)""",
+)
+def refs_by_outpoint_all(spark, d):
+    """refs_by_outpoint of every account's outpoints."""
+    points = T.outpoints(spark, d)
+    pool, done = (points.filter(f).select("tx", "vout", F.col("token").alias(n)) for f, n in ((F.col("height") >= POOL, "m"), (F.col("height") < POOL, "c")))
+    return points.select("tx", "vout").join(pool, ["tx", "vout"], "left").join(done, ["tx", "vout"], "left").select("tx", "vout", F.coalesce("m", "c").alias("ref"))
+
+
 @query("txs", f"SELECT account, arg_min(tx, tx) AS first_tx, arg_max(tx, tx) AS last_tx FROM txs WHERE height >= {POOL} GROUP BY account")
 def mempool_first_last(spark, d):
     pool = T.txs(spark, d).filter(F.col("height") >= POOL)
@@ -153,6 +164,13 @@ def history_numbered(spark, d):
     return market.running_count(own, "account", [F.asc("height"), F.asc("tx")])
 
 
+@query("txs", f"SELECT account, tx, height, count(*) OVER (PARTITION BY account ORDER BY height, tx ROWS UNBOUNDED PRECEDING) AS seen FROM txs WHERE height < {POOL}")
+def history_numbered_all(spark, d):
+    """history_numbered of every account."""
+    own = T.txs(spark, d).filter(F.col("height") < POOL).select("account", "tx", "height")
+    return market.running_count(own, "account", [F.asc("height"), F.asc("tx")])
+
+
 @query(
     "trades",
     "SELECT token, ts // 86400 * 86400 AS start, arg_min(price, ts * 100000000 + trade) AS open, max(price) AS high, min(price) AS low, arg_max(price, ts * 100000000 + trade) AS close, sum(amount)::BIGINT AS volume, count(*) AS trades FROM trades GROUP BY 1, 2",
