@@ -31,10 +31,12 @@ def fan_out(changes: DataFrame, subscriptions: DataFrame, on: list[str]) -> Data
     return changes.join(subscriptions, on, "inner")
 
 
-def request_costs(requests: DataFrame, limit: float, decay: float, block: float) -> DataFrame:
+def request_costs(requests: DataFrame, limit: float, decay: float, block: float, late: str = "10 minutes", idle: float = 3600.0) -> DataFrame:
     """ip, at, allowed for requests (ip, at in seconds, cost): a cost that decays, and a block for a time once it reaches the limit.
 
-    What is kept of each address ends when nothing has come from it for an hour.
+    Time is that of the requests: one that comes later than `late` behind the newest does not count and gives no row, one
+    that comes late within that counts as of the last request of its address. What is kept of an address ends when the
+    stream has gone on for `idle` seconds without it.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -57,10 +59,11 @@ def request_costs(requests: DataFrame, limit: float, decay: float, block: float)
                 cost += more
                 allowed.append(True)
         state.update((cost, last, until))
-        state.setTimeoutDuration(3_600_000)
+        state.setTimeoutTimestamp(max(int((max(last, until) + idle) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"ip": key[0], "at": rows["at"].to_numpy(), "allowed": allowed})
 
-    return requests.groupBy("ip").applyInPandasWithState(run, "ip string, at double, allowed boolean", "cost double, last double, until double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = requests.withColumn("ts", F.timestamp_micros((F.col("at") * 1_000_000).cast("long"))).withWatermark("ts", late)
+    return timed.groupBy("ip").applyInPandasWithState(run, "ip string, at double, allowed boolean", "cost double, last double, until double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def block_sink(path: str):
