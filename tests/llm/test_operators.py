@@ -209,7 +209,7 @@ def test_cuts_by_zooming_equal_cuts_of_single_groups(spark, monkeypatch):
     weights = [w for _, w in sorted(rows)]
     monkeypatch.setattr(sharding, "RANGES", 64)
     ends, keys = sharding.cuts(groups, 12), [k for k, _ in sorted(rows)]
-    at = [0, *[keys.index(e) + 1 for e in ends]]
+    at = [0, *[keys.index(e) + 1 for _, e in ends]]
     assert at[-1] == len(rows) and max(sum(weights[a:b]) for a, b in zip(at, at[1:], strict=False)) == sharding.least_capacity(weights, 12)
 
 
@@ -229,6 +229,44 @@ def test_shards(spark, edge, edge_pairs, docs, shards):
         assert all(len(s) == 1 for s in homes.values())
 
 
+def test_cuts_of_heavy_tailed_groups(spark):
+    """Hundreds of groups of a good share of a shard among small ones, at the real number of ranges."""
+    rng = random.Random(9)
+    rows = {rng.randrange(1 << sharding.KEY_BITS): rng.randrange(1, 400) for _ in range(150_000)}
+    for key in rng.sample(sorted(rows), 700):
+        rows[key] = int(400 * rng.paretovariate(0.7)) % 600_000
+    large = sorted(((k, w) for k, w in rows.items() if w > 400_000), key=lambda r: (-r[1], r[0]))[:9]
+    rest = sorted(set(rows.items()) - set(large))
+    ends = sharding.cuts(spark.createDataFrame(rest, "key long, bytes long").cache(), 40, large)
+    order = [*large, *rest]
+    places = {(0, i): i for i in range(len(large))} | {(1, k): len(large) + i for i, (k, _) in enumerate(rest)}
+    at = [0, *[places[e] + 1 for e in ends]]
+    parts = [sum(w for _, w in order[a:b]) for a, b in zip(at, at[1:], strict=False)]
+    assert at[-1] == len(order) and max(parts) == sharding.least_capacity([w for _, w in order], 40) and min(parts) > 0
+
+
+def test_shards_with_groups_over_a_fair_share_are_minimax(spark):
+    rng = random.Random(12)
+    for shards in (3, 7):
+        sizes = [5000, 900, 800, *[rng.randrange(0, 200) for _ in range(40)]]
+        rows = [(i, chr(97 + i % 26) * (n - n // 3) + str(i)) for i, n in enumerate(sizes) for _ in range(1 + i % 3)]
+        out = sharding.shard(spark, spark.createDataFrame(rows, "doc_id long, text string"), shards).collect()
+        total, groups = defaultdict(int), defaultdict(int)
+        for r in out:
+            total[r.shard] += r.size
+            groups[r.doc_id] += r.size
+        import hashlib
+
+        text = dict(rows)
+        order, left, k = [], sum(groups.values()), 0
+        for d in sorted(groups, key=lambda d: -groups[d])[: shards - 1]:
+            if groups[d] * (shards - k) <= left:
+                break
+            order, left, k = [*order, d], left - groups[d], k + 1
+        order += sorted(set(groups) - set(order), key=lambda d: hashlib.sha256(text[d].encode()).hexdigest())
+        assert max(total.values()) == least_capacity([groups[d] for d in order], shards)
+
+
 def test_shards_of_nothing(spark, empty):
     assert sharding.shard(spark, empty).collect() == []
 
