@@ -297,6 +297,64 @@ def test_language(spark, docs):
     assert out.filter("score < 0 or score > 1").count() == 0
 
 
+def test_labels_and_pooling_against_a_loop(edge_pairs):
+    """Every position's probabilities by the formulas of a gated recurrent network, one number after the other."""
+    model = language.BiGRU(["a", "b"], seed=3)
+    h, w = language.HIDDEN, {k: v.astype(np.float64) for k, v in model.w.items()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(read, d):
+        out, s = [], np.zeros(h)
+        for byte in read:
+            x, u = w["x" + d][byte] + w["c" + d], s @ w["u" + d]
+            z, r = sigmoid(x[:h] + u[:h]), sigmoid(x[h : 2 * h] + u[h : 2 * h])
+            n = np.tanh(x[2 * h :] + r * u[2 * h :])
+            s = (1 - z) * n + z * s
+            out.append(s)
+        return out
+
+    texts = [t for d, t in edge_pairs if d != 14]
+    pred, score, none = language.Labeller(model)(pa.array(texts), pa.array([bool(t) and any(c.isalpha() for c in t) for t in texts]))
+    for t, p, sc, no in zip(texts, pred, score, none, strict=True):
+        read = bytearray()
+        for byte in (t or "").encode():
+            letter = byte >= 128 or chr(byte).isalpha()
+            if letter or read and read[-1] != 32:
+                read.append(ord(chr(byte).lower()) if letter and byte < 128 else byte if letter else 32)
+        total, count = np.zeros(3), 0
+        for at in range(0, len(read), language.SPAN):
+            part = read[at : at + language.SPAN]
+            for byte, f, b in zip(part, states(part, "f"), states(part[::-1], "b")[::-1], strict=True):
+                if byte != 32:
+                    e = np.exp(np.concatenate([f, b]) @ w["o"] + w["p"])
+                    total, count = total + e / e.sum(), count + 1
+        if p == "und":
+            assert not (t and any(c.isalpha() for c in t)) and sc == 0 and no == 1
+        else:
+            assert p == "ab"[int(total[:2].argmax())] and abs(sc - total[:2].max() / count) < 1e-3
+            assert abs(no - total[2] / (count + language.PRIOR)) < 1e-3
+
+
+def test_all_languages_can_be_predicted_and_noise_is_rejected(spark, docs):
+    """More languages than the bound on documents, and texts that are letters without any language."""
+    rng = random.Random(6)
+    made = lambda n: " ".join("".join(rng.choice(s) for _ in range(rng.randrange(2, 4))) for _ in range(n))
+    rows = []
+    for k in range(70):
+        s = [a + b for a in rng.sample("bcdfghklmnprstvz", 3) for b in rng.sample("aeiou", 2)]
+        rows += [(k * 10 + i, made(60), f"l{k}", None, None) for i in range(6)]
+    few = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = language.fit(few, most=30)
+    assert model.langs == sorted(f"l{k}" for k in range(70))
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300)), "x" * 500, "".join(chr(rng.randrange(0x430, 0x450)) for _ in range(200)), "123 456 ...", None]
+    odd = spark.createDataFrame([(-1 - i, t, None, "s", 1) for i, t in enumerate(noise)], docs.schema)
+    mixed_ = docs.filter("lang = 'en'").limit(5).collect() + docs.filter("lang = 'fr'").limit(5).collect()
+    both = spark.createDataFrame([(-100 - i, a.text + "\n" + b.text, None, "s", 1) for i, (a, b) in enumerate(zip(mixed_[:5], mixed_[5:], strict=True))], docs.schema)
+    out = language.accepted(spark, docs.unionByName(odd).unionByName(both)).collect()
+    assert {r.doc_id for r in out} == {r.doc_id for r in docs.collect()} | {r.doc_id for r in both.collect()}
+    assert all(r.lang in {"en", "fr"} for r in out if r.doc_id <= -100)
+
+
 def test_language_of_edges(spark, edge, empty):
     rows = language.languages(spark, edge).collect()
     none = {7, 8, 9, 13}
