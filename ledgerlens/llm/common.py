@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed by the operators' contracts: what separates words.
@@ -31,9 +31,11 @@ def digest(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all run on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="ledgerlens-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -63,6 +65,12 @@ def text_key(text: Column) -> Column:
     return F.conv(F.hex(F.substring(digest(text), 1, 8)), 16, -10).cast("long")
 
 
+#: Bytes of digests that a task remembers at most before it forgets them and may send a text twice.
+REMEMBERED = 64_000_000
+#: A key that more than one in HOT rows have is met in pieces; there are fewer than HOT of these.
+HOT = 1024
+
+
 def _without_own_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[bytes] = set()
     for batch in batches:
@@ -71,6 +79,8 @@ def _without_own_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             fresh.append(one not in seen)
             seen.add(one)
         yield batch.filter(pa.array(fresh, pa.bool_()))
+        if len(seen) * 80 > REMEMBERED:  # a digest in a set takes about 80 bytes
+            seen.clear()
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
@@ -79,14 +89,18 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame
     The one shuffle of whole texts that the repeat finders need: later passes join it
     by key to lists of positions, which are dealt to its buckets, and the texts stay put.
     Each task drops its own copies first, so a text that a third of all rows have is sent once a task.
+    Different texts have different keys: should 64 bits of two digests agree, the second gets another key.
     """
     text = F.coalesce("text", F.lit(""))
     one = docs.select(digest(text).alias("digest"), text_key(text).alias("key"), text.alias("text"))
+    same = F.row_number().over(Window.partitionBy("key").orderBy("digest"))
     table = f"{name}_{uuid.uuid4().hex}"
     (
         one.mapInArrow(_without_own_copies, "digest binary, key long, text string")
         .repartition(parts(spark), "key")
         .dropDuplicates(["key", "digest"])
+        .withColumn("same", same)
+        .select("digest", F.when(F.col("same") == 1, F.col("key")).otherwise(F.xxhash64("digest", "same")).alias("key"), "text")
         .write.option("compression", "zstd")
         .option("path", f"{shared_dir(spark)}/{table}")
         .bucketBy(parts(spark), "key")
@@ -94,3 +108,20 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame
     )
     release(spark)
     return spark.table(table)
+
+
+def meet(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with a written table that has one row for each key, and in n how many of the rows have it.
+
+    The few keys that very many rows have stand in the table once for each of their pieces, and their rows are dealt
+    out by piece too: no more than one in HOT rows is ever dealt to one task for a key, of however many rows.
+    """
+    total, most = table.agg(F.sum("n"), F.max("n")).first()
+    if not most or most * HOT <= total:
+        return rows.join(table.drop("n"), on, how)
+    pieces = F.when(F.col("n") * HOT > total, F.ceil(F.col("n") * HOT / total)).otherwise(1).cast("int")
+    hot = table.select(*on, pieces.alias("_pieces")).filter("_pieces > 1")  # fewer than HOT rows
+    piece = F.pmod(F.xxhash64(*rows.columns, F.spark_partition_id()), F.coalesce("_pieces", F.lit(1))).cast("int")
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_piece", piece).drop("_pieces")
+    copies = table.withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("n")
+    return dealt.join(copies, [*on, "_piece"], how).drop("_piece")

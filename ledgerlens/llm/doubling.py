@@ -6,7 +6,8 @@ position is settled when what its rank stands for is as long as a window.
 
 The sampled positions are the anchors of repeats.py, with a rank for the k bytes there. Two neighbours are no
 further apart than k as long as windows follow each other, so ranks and distances determine every byte in
-between: equal ranks mean equal strings. A rank is two 64-bit hashes of the pair that it names.
+between: equal ranks mean equal strings. A rank is two 64-bit hashes of the pair that it names, not its number in an
+order: only whether ranks are equal is asked here.
 
 With all positions, a corpus of B bytes would sort 24 B bytes a round; the samples are about a fiftieth of that.
 """
@@ -20,17 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import cut, release
+from ledgerlens.llm.common import cut, meet, release
 from ledgerlens.llm.repeats import Repeats, unlist
 
 
 def by_doubling(spark: SparkSession, repeats: Repeats, texts: DataFrame, name: str) -> DataFrame:
     """The runs of the anchors that occur again, settled if ranks past the threshold cover all their windows."""
-    assert repeats.k >= repeats.n - repeats.k + 1, "neighbouring samples must touch"
+    if repeats.k < repeats.n - repeats.k + 1:
+        raise ValueError("neighbouring samples must touch")
     rows = repeats.anchors(texts, 2)
-    twice = repeats.anchors(texts).groupBy("name").count().filter(F.col("count") > 1).select("name")
+    twice = cut(spark, repeats.anchors(texts).groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), f"{name}-twice")
     at = F.shiftright("place", 32).cast("int")
-    live = rows.join(twice, "name", "left_semi").select(
+    live = meet(rows, twice, ["name"], "left_semi").select(
         "key",
         at.alias("at"),
         F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("number"),
@@ -57,8 +59,9 @@ def by_doubling(spark: SparkSession, repeats: Repeats, texts: DataFrame, name: s
                 F.xxhash64(F.lit(step), "r2", F.col("next.at") - F.col("at"), F.col("next.r2")).alias("r2"),
             )
         )
-        again = pairs.groupBy("r1", "r2").count().filter(F.col("count") > 1).select("r1", "r2")
-        state = cut(spark, pairs.join(again, ["r1", "r2"], "left_semi"), f"{name}-ranks{step}")
+        pairs = cut(spark, pairs, f"{name}-pairs{step}")
+        again = cut(spark, pairs.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), f"{name}-classes{step}")
+        state = cut(spark, meet(pairs, again, ["r1", "r2"], "left_semi"), f"{name}-ranks{step}")
         settled.append(state.filter(F.col("end") - F.col("at") >= repeats.n).select("key", F.col("at").alias("s"), (F.col("end") - repeats.n).alias("e")))
         release(spark)
         step *= 2

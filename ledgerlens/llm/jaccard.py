@@ -8,13 +8,17 @@ inside:
 1. Regions. Each document's n-grams are put in one order for the whole corpus, rare before frequent. Two
    linked documents share one among the first quarter of either, so each n-gram there opens a region with all
    documents that have it in that part. A document is replicated to each of its regions.
-2. In each region a pivot is chosen and the others' distances to it are computed. Those within 0.25 form
+2. In each region a first pivot is chosen and the others' distances to it are computed. Those within 0.25 form
    its ball: they are all joined through it and need no comparison with each other.
-3. A region whose documents are in different components after that is joined again, recursively. New pivots are
-   taken from the smaller components and compared with those documents of other components that the triangle
-   inequality (distances to the first pivot differ by 0.25 at most), the sizes and the places of the shared n-gram
-   leave possible; then they leave the region. A small region is joined whole, and all are once few members of other components are left. It ends when each region is in
-   one component or empty, so every pair that could be a link has been compared or is joined already.
+3. A region whose documents are in different components after that is joined again, recursively. In a large one
+   more pivots are taken, the smaller components' first, and each document's distance to each of them is computed. They
+   create Voronoi regions: a document goes to its nearest pivot, and to each pivot before that whose distance is no more
+   than twice 0.25 farther (its partner, if nearer to that one, cannot be missed then); the pivots, compared with all, leave.
+   Where this makes no region smaller, it stays as it is and is given twice as many pivots next time. In small regions,
+   and in all once few members of other components are left, documents of different components are compared
+   if the triangle inequality over the first pivot (distances that differ by 0.25 at most), the sizes and the places
+   of the shared n-gram leave it possible. It ends when each region is in one component or empty, so every pair that
+   could be a link has been compared or is joined already.
 
 The order only directs work: any order gives the same links. Texts that are equal are looked at once.
 
@@ -34,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import kernels as K
-from ledgerlens.llm.common import cut, distinct_texts, release, text_key
+from ledgerlens.llm.common import HOT, cut, digest, distinct_texts, meet, release
 from ledgerlens.llm.components import components
 from ledgerlens.llm.repeats import joined
 
@@ -175,8 +179,8 @@ def _both(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
     return first.join(rows.select(F.col("key").alias("b"), F.struct(*columns).alias("y")), "b")
 
 
-def compared(spark: SparkSession, texts: DataFrame, pairs: DataFrame, frequent, name: str) -> DataFrame:
-    """a, b, common, total (of n-grams): pairs that have been compared; common is null where a link is out of the question."""
+def compared(spark: SparkSession, texts: DataFrame, pairs: DataFrame, frequent, name: str, exact: bool = False) -> DataFrame:
+    """a, b, common, total (of n-grams): pairs that have been compared; common is null where a link is out of the question, unless exact."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -184,30 +188,43 @@ def compared(spark: SparkSession, texts: DataFrame, pairs: DataFrame, frequent,
                 h, text = grams(batch.column(1))
                 yield pa.RecordBatch.from_arrays([batch.column(0), _lists(np.searchsorted(text, np.arange(batch.num_rows + 1)), h)], names=["key", "grams"])
 
-    judged = plausible(spark, texts, pairs, frequent, name)
+    close = pairs
+    if not exact:
+        judged = plausible(spark, texts, pairs, frequent, name)
+        close = judged.filter("ok").select("a", "b")
     release(spark)
-    close = judged.filter("ok").select("a", "b")
     sets = cut(spark, joined(texts, _keys(close)).select("key", "text").mapInArrow(run, "key long, grams array<long>"), f"{name}-sets")
     both = _both(close, sets, "grams")
     done = both.select("a", "b", F.size(F.array_intersect("x.grams", "y.grams")).alias("common"), (F.size("x.grams") + F.size("y.grams")).alias("total"))
     none = F.lit(None).cast("int")
-    return done.unionByName(judged.filter("not ok").select("a", "b", none.alias("common"), none.alias("total")))
+    return done if exact else done.unionByName(judged.filter("not ok").select("a", "b", none.alias("common"), none.alias("total")))
 
 
 def linked() -> Column:
     return 100 * F.col("common").cast("long") >= 75 * (F.col("total") - F.col("common")).cast("long")
 
 
+def _headed(spark: SparkSession, rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """g, key, at, p (place, key, at of the first pivot), least (size): rows of regions of two or more.
+
+    The first pivot has its n-gram earliest: it can be near to most. Regions of the n-grams in hot (a broadcast table) are
+    summed up in every task first; all others are small enough for one task each.
+    """
+    head = F.min(F.struct(F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("place"), "key", "at"))
+    least, many, region = F.min(F.shiftright("at", 32)), F.count(F.lit(1)), Window.partitionBy("g")
+    few = rows.join(F.broadcast(hot), "g", "left_anti").withColumn("p", head.over(region)).withColumn("least", least.over(region)).withColumn("many", many.over(region)).filter("many > 1").drop("many")
+    heads = rows.join(F.broadcast(hot), "g", "left_semi").groupBy("g").agg(head.alias("p"), least.alias("least"), many.alias("many")).filter("many > 1").drop("many")
+    return few.unionByName(rows.join(F.broadcast(cut(spark, heads, "heads")), "g"))
+
+
 def links(spark: SparkSession, texts: DataFrame) -> DataFrame:
     """v, c: the component of every text that is linked with a different one."""
-    frequent = spark.sparkContext.broadcast(frequent_grams(spark, texts))
-    rows = regions(texts, frequent)
-    region = Window.partitionBy("g")
-    # the first pivot has its n-gram earliest: it can be near to most
-    head = F.min(F.struct(F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("place"), "key", "at")).over(region)
-    least = F.min(F.shiftright("at", 32)).over(region)
-    shared = rows.withColumn("p", head).withColumn("least", least).withColumn("many", F.count(F.lit(1)).over(region)).filter("many > 1")
-    shared = shared.select("g", "key", *unpacked("at"), F.struct("p.key", *unpacked("p.at")).alias("p"), "least")
+    known_grams = frequent_grams(spark, texts)
+    frequent = spark.sparkContext.broadcast(known_grams)
+    rows = cut(spark, regions(texts, frequent), "early")
+    hot = known_grams[0][known_grams[1] * HOT > texts.count()].view(np.int64)  # FREQUENT at most
+    hot = spark.createDataFrame([(int(g),) for g in hot], "g long")
+    shared = _headed(spark, rows, hot).select("g", "key", *unpacked("at"), F.struct("p.key", *unpacked("p.at")).alias("p"), "least")
     # who cannot be near to the smallest there can be near to nobody there
     shared = cut(spark, shared.filter(7 * (F.col("n") - F.col("place")) >= 3 * (F.col("n") + F.col("least"))).drop("least"), "regions")
     release(spark)
@@ -216,34 +233,56 @@ def links(spark: SparkSession, texts: DataFrame) -> DataFrame:
     known = cut(spark, compared(spark, texts, cut(spark, pairs, "pairs"), frequent, "star"), "known")
     release(spark)
     # the first pivot has been compared with all that it can be near to
-    open_ = shared.filter(F.col("key") != F.col("p.key")).select("g", "key", "n", "place", F.col("p.key").alias("p"))
-    size, pivots = shared.count(), 2
+    open_ = shared.filter(F.col("key") != F.col("p.key")).select("g", "key", "n", "place", F.col("p.key").alias("p"), F.lit(2).alias("pivots"))
+    size = shared.count()
     for step in range(1, 1000):
         found = cut(spark, components(spark, known.filter(linked()).select("a", "b"), f"found{step}"), f"found{step}")
-        labelled = open_.join(found.select(F.col("v").alias("key"), "c"), "key", "left").withColumn("c", F.coalesce("c", "key"))
-        share = labelled.groupBy("g", "c").agg(F.count(F.lit(1)).alias("own"))
+        labelled = cut(spark, open_.join(found.select(F.col("v").alias("key"), "c"), "key", "left").withColumn("c", F.coalesce("c", "key")), f"labelled{step}")
+        share = cut(spark, labelled.groupBy("g", "c").agg(F.count(F.lit(1)).alias("own")), f"share{step}")
         mixed = share.groupBy("g").agg(F.sum("own").alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-        far = known.select(F.col("a").alias("p"), F.col("b").alias("key"), _distance().alias("d")).unionByName(known.select(F.col("b").alias("p"), F.col("a").alias("key"), _distance().alias("d")))
-        open_ = cut(spark, labelled.join(mixed.select("g", "m"), "g").join(share, ["g", "c"]).join(far, ["p", "key"], "left"), f"open{step}")
+        both = cut(spark, share.join(mixed, "g").select("g", "c", "own", "m", F.col("own").alias("n")), f"mixed{step}")
+        open_ = cut(spark, meet(labelled, both, ["g", "c"]).join(_distances(known), ["p", "key"], "left"), f"open{step}")
         # members of a region's other components, summed up: twice the pairs that joining all of them whole can give
         left = open_.agg(F.coalesce(F.sum(F.col("m") - F.col("own")), F.lit(0))).first()[0]
         if not left:
             return found
         small = F.lit(True) if left <= WHOLE * size else F.col("m") <= LEAF
-        order = Window.partitionBy("g").orderBy("own", F.xxhash64("key", F.lit(step)), "key")
-        chosen = cut(spark, open_.filter(~small).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= pivots), f"pivots{step}")
-        leaf = open_.filter(small)
-        met = _met(chosen, open_.filter(~small), F.lit(True)).unionByName(_met(leaf, leaf, F.col("x.key") < F.col("y.key")))
-        pairs = met.distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+        leaf, large = open_.filter(small), open_.filter(~small)
+        pairs = _met(leaf).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
         more = compared(spark, texts, cut(spark, pairs, f"pairs{step}"), frequent, f"round{step}")
-        known = cut(spark, known.unionByName(more), f"known{step}")
-        # pivots have been compared with all that they can be near to
-        open_ = open_.filter(~small).join(chosen.select("g", "key"), ["g", "key"], "left_anti").select("g", "key", "n", "place", "p")
-        pivots = pivots * 2 if step > 2 else pivots
+        if large.isEmpty():
+            known, open_ = cut(spark, known.unionByName(more), f"known{step}"), large.select("g", "key", "n", "place", "p", "pivots")
+        else:
+            order = Window.partitionBy("g").orderBy("own", F.xxhash64("key", F.lit(step)), "key")
+            chosen = cut(spark, large.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("pivots")).select("g", F.col("key").alias("pivot"), "rank"), f"pivots{step}")
+            asked = large.join(chosen, "g").filter(F.col("key") != F.col("pivot")).select(*_pair("key", "pivot")).distinct()
+            asked = asked.join(known.filter(F.col("common").isNotNull()).select("a", "b"), ["a", "b"], "left_anti")
+            exact = compared(spark, texts, cut(spark, asked, f"asked{step}"), frequent, f"pivots{step}", exact=True)
+            known = cut(spark, known.unionByName(more).unionByName(exact), f"known{step}")
+            open_ = cut(spark, voronoi(large, chosen, known), f"cells{step}")
         release(spark)
     raise RuntimeError("regions do not become smaller")
 
 
+def voronoi(large: DataFrame, chosen: DataFrame, known: DataFrame) -> DataFrame:
+    """g, key, n, place, p, pivots: the members of regions, but for the pivots, in the regions that the pivots create.
+
+    A member goes to its nearest pivot, the first of equals, and to each one before it that is no more than 2 * FAR
+    farther. For if x is nearest to i, y to j < i, and d(x, y) <= FAR: d(x, j) <= d(y, j) + FAR <= d(y, i) + FAR <= d(x, i) + 2 FAR.
+    A region that does not come out in smaller ones stays, with twice the number of pivots to be tried next.
+    """
+    member = ["g", "key", "n", "place", "p", "pivots"]
+    others = large.select(*member).join(chosen.select("g", F.col("pivot").alias("key")), ["g", "key"], "left_anti")
+    to = others.join(chosen, "g").join(_distances(known).select(F.col("p").alias("pivot"), "key", "d"), ["pivot", "key"])
+    nearest = to.groupBy(*member).agg(F.min(F.struct("d", "rank")).alias("near"), F.collect_list(F.struct("d", "rank")).alias("all"))
+    inside = F.filter("all", lambda x: (x["rank"] == F.col("near.rank")) | (x["rank"] < F.col("near.rank")) & (x["d"] <= F.col("near.d") + 2 * FAR + 1e-9))
+    cells = nearest.select(*member, F.explode(F.transform(inside, lambda x: x["rank"])).alias("cell"))
+    counts = cells.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("k")).groupBy("g").agg(F.max("k").alias("most"), F.sum("k").alias("every"))
+    helped = counts.join(others.groupBy("g").agg(F.count(F.lit(1)).alias("m")), "g").filter((4 * F.col("most") <= 3 * F.col("m")) & (2 * F.col("every") <= 3 * F.col("m"))).select("g")
+    smaller = cells.join(helped, "g", "left_semi").select(F.xxhash64("g", "cell").alias("g"), "key", "n", "place", "p", F.lit(2).alias("pivots"))
+    return smaller.unionByName(others.join(helped, "g", "left_anti").withColumn("pivots", 2 * F.col("pivots")))
+
+
 def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -252,11 +291,16 @@ def _distance() -> Column:
     return 1 - F.col("common") / (F.col("total") - F.col("common"))
 
 
-def _met(x: DataFrame, y: DataFrame, order: Column) -> DataFrame:
+def _distances(known: DataFrame) -> DataFrame:
+    """p, key, d: both ways, for all pairs whose distance is known."""
+    exact = known.filter(F.col("common").isNotNull()).select("a", "b", _distance().alias("d")).dropDuplicates(["a", "b"])
+    return exact.select(F.col("a").alias("p"), F.col("b").alias("key"), "d").unionByName(exact.select(F.col("b").alias("p"), F.col("a").alias("key"), "d"))
+
+
+def _met(rows: DataFrame) -> DataFrame:
     """a, b: members of one region in different components that can be near each other."""
     window = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= FAR + 1e-9, F.lit(True))
-    apart = (F.col("x.c") != F.col("y.c")) & (F.col("x.key") != F.col("y.key"))
-    met = x.alias("x").join(y.alias("y"), (F.col("x.g") == F.col("y.g")) & apart & order & possible("x", "y") & window)
+    met = rows.alias("x").join(rows.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.key") < F.col("y.key")) & possible("x", "y") & window)
     return met.select(*_pair("x.key", "y.key"))
 
 
@@ -271,26 +315,30 @@ def grouped(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["key", "n_shingles"])
 
     size = texts.select("key", "text").mapInArrow(sizes, "key long, n_shingles long")
-    of_text = cut(spark, size.join(links(spark, texts).select(F.col("v").alias("key"), "c"), "key", "left").select("key", "n_shingles", F.coalesce("c", "key").alias("c")), "groups")
+    sized = size.join(links(spark, texts).select(F.col("v").alias("key"), "c"), "key", "left").select("key", "n_shingles", F.coalesce("c", "key").alias("c"))
+    rows = cut(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("digest")), "digests")
+    copies = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    of_text = cut(spark, sized.join(texts.select("key", "digest"), "key").join(copies, "digest"), "groups")
     release(spark)
-    return cut(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key")).join(of_text, "key"), "grouped")
+    return cut(spark, meet(rows, of_text, ["digest"]), "grouped")
 
 
 def jaccard_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     rows = grouped(spark, docs)
-    least = cut(spark, rows.filter("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("component_id")), "least")
-    return rows.join(least, "c", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    least = cut(spark, rows.filter("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "least")
+    of_none = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return meet(rows.filter("n_shingles > 0"), least, ["c"]).select("doc_id", "n_shingles", "component_id").unionByName(of_none)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of docs, of each group of linked ones only that of the least doc_id; rows without n-grams all stay."""
+    """The rows of docs, of each group of linked ones only one of the least doc_id; rows without n-grams all stay."""
     rows = grouped(spark, docs)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    first = rows.filter("n_shingles > 0").groupBy("c").agg(F.min(order).alias("r")).select(F.col("r.key").alias("key"), F.col("r.doc_id").alias("id"), F.lit(False).alias("blank"))
-    stay = first.unionByName(rows.filter("n_shingles = 0").select("key", F.col("doc_id").alias("id"), F.lit(True).alias("blank")).distinct())
-    known = [F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("none")]
-    row = docs.select(text_key(F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("id"), F.struct(*docs.columns).alias("row")).select("key", *known, "row")
-    found = row.join(stay.select("key", *known, "blank"), ["key", "id", "none"])
-    copy = F.row_number().over(Window.partitionBy("key", "id", "none").orderBy("blank"))
-    return found.withColumn("copy", copy).filter("blank or copy = 1").select("row.*")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    stay = rows.filter("n_shingles > 0").groupBy("c").agg(F.min(order).alias("r")).select("r.*")
+    # of a group's rows with its least doc_id and text, the one that is met first in a task, and of the tasks' one
+    own = docs.select(digest(F.col("text")).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), F.struct(*docs.columns).alias("row"))
+    known = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "digest"]
+    found = own.select(*known, "row").join(stay.select(*known), ["id", "none", "digest"], "left_semi")
+    kept = found.groupBy("id", "none", "digest").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    return kept.unionByName(docs.filter(~F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")))

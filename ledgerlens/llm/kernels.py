@@ -90,12 +90,17 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int
     return span_hash(prefix(byte_symbols(buf, lane), lane), starts, ends, lane)
 
 
-def sliding_argmin(h: np.ndarray, w: int) -> np.ndarray:
-    """The leftmost position of the least of each w values in a row (36 bits of a value count)."""
+def sliding_argmin(h: np.ndarray, w: int, most: int = 1 << 26) -> np.ndarray:
+    """The leftmost position of the least of each w values in a row (36 bits of a value count); `most` rows of values are looked at together."""
+    if len(h) < w:
+        return np.zeros(0, np.int64)
+    found = [_argmin(h[at : at + most + w - 1], w) + at for at in range(0, len(h) - w + 1, most)]
+    return found[0] if len(found) == 1 else np.concatenate(found)
+
+
+def _argmin(h: np.ndarray, w: int) -> np.ndarray:
     low = U((1 << 28) - 1)
     m = (h & ~low) | np.arange(len(h), dtype=U)
-    if len(m) < w:
-        return np.zeros(0, np.int64)
     n = 1
     while n * 2 <= w:
         m = np.minimum(m[:-n], m[n:])

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import kernels as K
-from ledgerlens.llm.common import cut, release
+from ledgerlens.llm.common import cut, meet, release
 
 Symbols = Callable[[pa.Array, int], tuple[np.ndarray, np.ndarray]]
 
@@ -53,6 +53,10 @@ class Repeats:
     k: int
     blocks: tuple[int, ...] = (1,)
 
+    def __post_init__(self) -> None:
+        if not (0 < self.k <= self.n and self.n - self.k < 256 and self.blocks[-1] == 1):
+            raise ValueError("an anchor is within its window, 255 places from its ends at most, and the last blocks are of one window")
+
     def runs(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each anchor: its text, its place, the first and last window of it (all within the text), and its name."""
         sym, off = self.symbols(texts, 0)
@@ -151,17 +155,17 @@ class Repeats:
         settled = [rows.filter("again").select("key", "s", "e")]
         for step, size in enumerate(self.blocks):
             # of settled rows with the same whole one is enough to meet open windows in
-            open_ = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max(~F.col("again")).alias("open")).filter("n > 1 and open").select("name")
-            open_ = cut(spark, open_, f"{name}-open{step}")  # a table of its own: a join that shares no shuffle with it can split a hot name
-            lists = rows.filter("first or not again").join(open_, "name", "left_semi").groupBy("key").agg(F.collect_list(F.struct("at", "s", "e", "again")).alias("runs"))
+            open_ = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max(~F.col("again")).alias("open")).filter("n > 1 and open").select("name", "n")
+            open_ = cut(spark, open_, f"{name}-open{step}")
+            lists = meet(rows.filter("first or not again"), open_, ["name"], "left_semi").groupBy("key").agg(F.collect_list(F.struct("at", "s", "e", "again")).alias("runs"))
             blocks = cut(spark, self.split(texts, lists, size), f"{name}-blocks{step}")
             release(spark)
             if size > 1:
                 rows = cut(spark, flagged(blocks).withColumn("again", F.col("again") | F.col("known")), f"{name}-rows{step}")
                 settled.append(rows.filter("again and not known").select("key", "s", "e"))
             else:
-                again = cut(spark, twice(blocks).select("w1", "w2"), f"{name}-again{step}")
-                settled.append(blocks.filter("not known").join(again, ["w1", "w2"], "left_semi").select("key", "s", "e"))
+                again = cut(spark, twice(blocks).select("w1", "w2", "n"), f"{name}-again{step}")
+                settled.append(meet(blocks.filter("not known"), again, ["w1", "w2"], "left_semi").select("key", "s", "e"))
         every = settled[0]
         for more in settled[1:]:
             every = every.unionByName(more)
@@ -169,13 +173,13 @@ class Repeats:
 
 
 def twice(rows: DataFrame) -> DataFrame:
-    """w1, w2, one: the wholes that occur more than once, and a number of the row that stands for them."""
-    return rows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("key", "s")).alias("one")).filter("n > 1").select("w1", "w2", "one")
+    """w1, w2, n, one: the wholes that occur more than once, how often, and a number of the row that stands for them."""
+    return rows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("key", "s")).alias("one")).filter("n > 1").select("w1", "w2", "n", "one")
 
 
 def flagged(rows: DataFrame) -> DataFrame:
     """rows with `again`, which tells if their whole (w1, w2) occurs more than once, and `first`, of one of its rows."""
-    found = rows.join(cut(rows.sparkSession, twice(rows), "twice"), ["w1", "w2"], "left").withColumn("again", F.col("one").isNotNull())
+    found = meet(rows, cut(rows.sparkSession, twice(rows), "twice"), ["w1", "w2"], "left").withColumn("again", F.col("one").isNotNull())
     return found.withColumn("first", F.coalesce(F.xxhash64("key", "s") == F.col("one"), F.lit(True))).drop("w1", "w2", "one")
 
 

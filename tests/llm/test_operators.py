@@ -8,10 +8,12 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, language, quality, sharding
+from ledgerlens.llm import common, decontaminate, jaccard, kernels, language, quality, sharding
 from ledgerlens.llm.jaccard import jaccard_groups
 from ledgerlens.llm.lines import removed_lines
 from ledgerlens.llm.mixing import mix, mixed
+from ledgerlens.llm import substrings
+from ledgerlens.llm.repeats import Repeats, words_of
 from ledgerlens.llm.substrings import removed_bytes, removed_words
 from ledgerlens.llm.tokens import _AGREED, PATTERN, token_counts
 from tests.llm import brute
@@ -156,6 +158,31 @@ def test_repeated_bytes(spark, edge, edge_pairs, docs, pairs, empty):
     assert removed_bytes(spark, empty).collect() == []
 
 
+def test_anchors_of_texts_longer_than_a_piece():
+    h = np.random.default_rng(1).integers(0, 2**64, 5000, dtype=np.uint64)
+    h[1000:1100] = h[1000]
+    for w in (1, 7, 18, 64):
+        whole = kernels.sliding_argmin(h, w)
+        assert [int(x) for x in whole] == [i + int(np.argmin(h[i : i + w] >> np.uint64(28))) for i in range(5000 - w + 1)]
+        assert (kernels.sliding_argmin(h, w, 100) == whole).all() and len(kernels.sliding_argmin(h[: w - 1], w)) == 0
+
+
+def test_sketch_overestimates_and_little(spark):
+    """Cells add up to no less than the counts, and few of the names that occur once come under suspicion."""
+    rng = np.random.default_rng(2)
+    names = rng.integers(-(2**63), 2**63, 40_000)
+    rows = spark.createDataFrame([(int(x),) for x in np.concatenate([names, names[:500], names[:20]])], "name long").repartition(5)
+    bits = (40_520 * substrings.CELLS - 1).bit_length()
+    often = substrings.merged(substrings.sketched(rows, bits)).collect()
+    n = {(r.row, r.cell): r.n for r in often}
+    cells = lambda x: [int(x) & ((1 << bits) - 1), (int(x) & (2**64 - 1)) >> (64 - bits)]
+    estimate = [min(n.get((row, c), 1) for row, c in enumerate(cells(x))) for x in names]
+    assert all(e >= (3 if i < 20 else 2) for i, e in enumerate(estimate[:500]))
+    assert sum(e > 1 for e in estimate[500:]) < 0.02 * len(names)
+    with pytest.raises(ValueError):
+        Repeats(words_of, 600, 301)
+
+
 # 6
 
 
@@ -165,7 +192,11 @@ def test_jaccard_groups(spark, edge, edge_pairs, docs, pairs, empty):
     assert jaccard_groups(spark, empty).collect() == []
 
 
-def test_jaccard_groups_of_many_unlike_texts_around_one_passage(spark):
+@pytest.mark.parametrize("leaf, whole", [(jaccard.LEAF, jaccard.WHOLE), (3, 0)])
+def test_jaccard_groups_of_many_unlike_texts_around_one_passage(spark, monkeypatch, leaf, whole):
+    """Joined whole, and by Voronoi regions down to three documents."""
+    monkeypatch.setattr(jaccard, "LEAF", leaf)
+    monkeypatch.setattr(jaccard, "WHOLE", whole)
     rng = random.Random(2)
     base = [f"b{rng.randrange(10**6)}" for _ in range(200)]
     rows = []
@@ -179,6 +210,41 @@ def test_jaccard_groups_of_many_unlike_texts_around_one_passage(spark):
     assert plain(got) == plain(brute.groups(*zip(*rows, strict=True))[0])
 
 
+def test_voronoi_regions_part_clusters_and_lose_no_link(spark):
+    """Points on a line as distances: of two clusters each goes to its own pivot, a point between stands in both."""
+    at = {k: x for k, x in enumerate([0.0, 0.05, 0.1, 0.2, 0.45, 0.9, 0.95, 1.0, 0.85, 0.8])}
+    rows = spark.createDataFrame([(1, k, 9, 0, 99, 2) for k in at], "g long, key long, n int, place int, p long, pivots int")
+    chosen = spark.createDataFrame([(1, 0, 1), (1, 7, 2)], "g long, pivot long, rank int")
+    shared = lambda a, b: round(1000 * (1 - abs(at[a] - at[b])))
+    known = spark.createDataFrame([(min(a, b), max(a, b), shared(a, b), 1000 + shared(a, b)) for a in (0, 7) for b in at if a != b], "a long, b long, common int, total int")
+    cells = defaultdict(set)
+    for r in jaccard.voronoi(rows, chosen, known).collect():
+        cells[r.g].add(r.key)
+    assert sorted(map(sorted, cells.values())) == [[1, 2, 3, 4], [5, 6, 8, 9]]
+    for x in at:
+        for y in at:
+            if x < y and abs(at[x] - at[y]) <= jaccard.FAR and not {x, y} & {0, 7}:
+                assert any({x, y} <= c for c in cells.values())
+
+
+def test_jaccard_groups_with_keys_that_agree_by_chance(spark, docs, pairs, monkeypatch):
+    """Keys of few bits: different texts with equal ones are told apart by their digests."""
+    monkeypatch.setattr(common, "text_key", lambda text: F.pmod(F.xxhash64(text), F.lit(97)))
+    some = docs.filter("doc_id < 120")
+    few = [p for p in pairs if p[0] < 120]
+    assert plain(jaccard_groups(spark, some).collect()) == plain(brute.groups(*zip(*few, strict=True))[0])
+    assert plain(removed_words(spark, some).collect()) == with_ids(few, brute.removed_words([t for _, t in few]))
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_hot_keys_are_met_in_pieces(spark, how):
+    """A third of all rows have one key; the join's rows are those of a plain join."""
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), "id")
+    table = common.cut(spark, rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("v")).filter("k % 5 <> 1"), "table")
+    want = rows.join(table.drop("n"), ["k"], how)
+    assert plain(common.meet(rows, table, ["k"], how).collect()) == plain(want.collect())
+
+
 # 7
 
 
