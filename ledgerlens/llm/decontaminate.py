@@ -11,8 +11,8 @@ occurrence of an item lies within one. Before WAND runs on a passage, the rare t
 for all words of a batch at once: an item whose rare terms do not add up with the rest to the threshold cannot
 reach it.
 
-The index is broadcast in blocks of items of a checked size (`block_bytes` of text); a larger benchmark
-is queried block by block, with the statistics of all items.
+The index is broadcast in blocks of items of a checked size (`block_bytes` of text; in a task it takes some sixty times
+that); a larger benchmark is queried block by block, with the statistics of all items.
 
 An item without fields of its own counts its first two thirds as question and the rest as answer.
 
@@ -65,9 +65,8 @@ def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Index:
     """Postings of a block of items, in the order of the items' numbers."""
 
-    def __init__(self, ids: list, words: list[np.ndarray], df: dict[int, int], count: int, mean: float):
-        self.ids, self.words = ids, words
-        self.longest = max((len(w) for w in words), default=0)
+    def __init__(self, ids: list, words: list[np.ndarray], df: dict[int, int], count: int, mean: float, longest: int):
+        self.ids, self.words, self.longest = ids, words, longest
         postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
         self.rare: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for i, w in enumerate(words):
@@ -197,7 +196,7 @@ def grams(w: np.ndarray) -> set:
     return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if n else set()
 
 
-def indexes(items: DataFrame, block_bytes: int = 16_000_000) -> Iterator[Index]:
+def indexes(items: DataFrame, block_bytes: int = 4_000_000) -> Iterator[Index]:
     """The index of the items, in blocks of about so many bytes of text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +208,8 @@ def indexes(items: DataFrame, block_bytes: int = 16_000_000) -> Iterator[Index]:
     known = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     size, count = known.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
     listed = known.mapInArrow(rows, "item_id long, terms array<long>").filter(F.size("terms") > 0)
-    full, mean = listed.agg(F.count(F.lit(1)), F.coalesce(F.avg(F.size("terms")), F.lit(1.0))).first()
+    # passages are measured by the longest of all items, so that results do not depend on how items are dealt to blocks
+    full, mean, longest = listed.agg(F.count(F.lit(1)), F.coalesce(F.avg(F.size("terms")), F.lit(1.0)), F.coalesce(F.max(F.size("terms")), F.lit(0))).first()
     blocks = max(1, -(-size // block_bytes))
     df = listed.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").count()
     for k in range(blocks):
@@ -220,7 +220,7 @@ def indexes(items: DataFrame, block_bytes: int = 16_000_000) -> Iterator[Index]:
         needed = block.select(F.explode("terms").alias("term")).distinct()
         counts = {int(np.int64(r.term).view(np.uint64)): r["count"] for r in df.join(needed, "term", "left_semi").collect()}
         words = [np.array(w, dtype=np.int64).view(K.U) for w in own["terms"]]
-        yield Index([None if x != x else int(x) for x in own["item_id"].astype(object)], words, counts, full, mean)
+        yield Index([None if x != x else int(x) for x in own["item_id"].astype(object)], words, counts, full, mean, longest)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:

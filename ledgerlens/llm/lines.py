@@ -2,9 +2,10 @@
 
 Line ids stand in a row for each document. Prefix doubling ranks the suffixes of all rows: each round sorts pairs of
 ranks, of a line's own run and of the run that begins where it ends, drops the positions whose pair occurs once and ranks the
-rest, until runs are as long as the threshold. Equal ranks are then the intervals of the suffix array whose
-longest common prefix reaches the threshold, and consecutive members of such intervals are the maximal
-repeated runs. The first copy of each run stays, in the order of doc_id and line, and later ones are deleted.
+rest, until runs are as long as the threshold. Suffixes of equal rank are then the intervals of the suffix array whose
+longest common prefix reaches the threshold. The first copy in each interval stays, in the order of doc_id and line,
+and later ones are deleted; where members of intervals follow each other they make up the maximal repeated runs. The order of the
+suffixes beyond the threshold would part no interval and is not made.
 
 With `long`, shorter runs of over so many words are removed too, so long single lines and copies of documents of few
 lines count. A maximal run is removed by its number of lines or words just if each of its lines lies in one of the runs
@@ -26,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import cut, release, text_key, words
+from ledgerlens.llm.common import cut, meet, release, text_key, words
 
 #: Lines in the shortest run that is removed.
 MIN_LINES = 3
-#: Shorter runs are passages, and removed by op2_repeated_passages, if they have more words.
+#: Shorter runs are removed too if they have more words.
 LONG = 50
 _SPACES = " \t\n\x0b\f\r"
 _OWNER = ["id", "none", "key"]
@@ -49,15 +50,16 @@ def line_ranks(docs: DataFrame, counted: bool = False) -> DataFrame:
     return rows.select(*_OWNER, "number", "r.*").dropDuplicates([*_OWNER, "number"])
 
 
-def _shared(ranks: DataFrame) -> DataFrame:
-    twice = ranks.groupBy("r1", "r2").count().filter(F.col("count") > 1).select("r1", "r2")
-    return ranks.join(twice, ["r1", "r2"], "left_semi")
+def _shared(spark: SparkSession, ranks: DataFrame, name: str) -> DataFrame:
+    """The rows of a written table whose rank occurs more than once."""
+    twice = cut(spark, ranks.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), f"{name}-classes")
+    return meet(ranks, twice, ["r1", "r2"], "left_semi")
 
 
 def later_copies(spark: SparkSession, docs: DataFrame, least: int, long: int | None = None) -> DataFrame:
     """id, none, key, starts (number, lines): the runs of `least` lines, or of fewer with over `long` words, that have a copy before them."""
     counted = long is not None
-    ranks, length = cut(spark, _shared(cut(spark, line_ranks(docs, counted), "lines")), "ranks1"), 1
+    ranks, length = cut(spark, _shared(spark, cut(spark, line_ranks(docs, counted), "lines"), "lines"), "ranks1"), 1
     if counted:
         ranks = ranks.withColumn("last", F.col("n"))  # words of the run's last line
     runs = []
@@ -71,13 +73,13 @@ def later_copies(spark: SparkSession, docs: DataFrame, least: int, long: int | N
         size = [(F.col("n") + F.col("next.last")).alias("n"), F.col("next.last").alias("last")] if counted else []
         named = pairs.select(*_OWNER, "number", F.xxhash64("r1", F.lit(step), F.col("next.r1")).alias("r1"), F.xxhash64(F.lit(step), "r2", F.col("next.r2")).alias("r2"), *size)
         length += step
-        ranks = cut(spark, _shared(named), f"ranks{length}")
+        ranks = cut(spark, _shared(spark, cut(spark, named, f"pairs{length}"), f"pairs{length}"), f"ranks{length}")
     found = ranks.select(*_OWNER, "number", F.lit(length).alias("lines"), "r1", "r2")
     for shorter in runs:
         found = found.unionByName(shorter)
     order = F.struct("none", "id", "key", "number")
-    first = found.groupBy("lines", "r1", "r2").agg(F.min(order).alias("first"))
-    late = found.join(first, ["lines", "r1", "r2"]).filter(order != F.col("first"))
+    first = cut(spark, found.groupBy("lines", "r1", "r2").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")), "first")
+    late = meet(found, first, ["lines", "r1", "r2"]).filter(order != F.col("first"))
     return late.groupBy(*_OWNER).agg(F.collect_list(F.struct("number", "lines")).alias("starts"))
 
 
@@ -106,37 +108,8 @@ def removed_lines(spark: SparkSession, docs: DataFrame, least: int = MIN_LINES,
     return rows.select("doc_id", "text", "starts").mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
 
 
-#: The same in DuckDB's SQL, for runs of three lines.
+#: The same in DuckDB's SQL: runs of three lines, or of one or two with over 50 words.
 LINES_SQL = """
-WITH split AS (
-  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-lines AS (
-  SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM split),
-numbered AS (
-  SELECT doc_id, line, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS number
-  FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
-runs AS (
-  SELECT doc_id, number, line AS a, lead(line, 1) OVER w AS b, lead(line, 2) OVER w AS c
-  FROM numbered WINDOW w AS (PARTITION BY doc_id ORDER BY number)),
-copies AS (
-  SELECT doc_id, number, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, number) AS copy
-  FROM runs WHERE c IS NOT NULL),
-gone AS (
-  SELECT DISTINCT doc_id, number + k AS number FROM copies, (VALUES (0), (1), (2)) t(k) WHERE copy > 1),
-kept AS (
-  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS kept_text
-  FROM lines l LEFT JOIN numbered n ON n.doc_id = l.doc_id AND n.pos = l.pos
-       LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.number = n.number
-  WHERE g.number IS NULL GROUP BY l.doc_id)
-SELECT d.doc_id,
-       (SELECT count(*) FROM numbered n WHERE n.doc_id = d.doc_id) AS n_lines,
-       (SELECT count(*) FROM gone g WHERE g.doc_id = d.doc_id) AS n_removed,
-       sha256(coalesce(k.kept_text, '')) AS kept_sha256
-FROM documents d LEFT JOIN kept k USING (doc_id)
-"""
-
-#: The same for runs of three lines, or of one or two with over 50 words.
-PASSAGES_SQL = """
 WITH split AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 lines AS (

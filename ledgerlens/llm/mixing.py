@@ -25,9 +25,9 @@ from ledgerlens.llm.common import cut, words
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-#: Size classes in an octave, and salts in a class.
+#: Size classes in an octave; salts in a class, at least, and one for so many rows of the table.
 CLASSES = 8
-SALTS = 64
+SALTS, SALT_ROWS = 64, 1_000_000
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -53,8 +53,10 @@ def targets(sized: DataFrame) -> DataFrame:
 
 
 def _copies(sized: DataFrame, seed: str) -> DataFrame:
-    """sized with source_size, target and copies."""
-    classed = sized.withColumn("class", F.when(F.col("size") > 0, F.floor(F.log2("size") * CLASSES)).otherwise(-1).cast("int")).withColumn("salt", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(SALTS)))
+    """sized with source_size, target and copies. A salt is a hash of doc_id; their number grows with the table."""
+    salts = max(SALTS, sized.count() // SALT_ROWS)
+    salt = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
+    classed = sized.withColumn("class", F.when(F.col("size") > 0, F.floor(F.log2("size") * CLASSES)).otherwise(-1).cast("int")).withColumn("salt", F.pmod(salt, F.lit(salts)))
     cell = ["nosource", "name", "class", "salt"]
     before = Window.partitionBy("nosource", "name").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)
     cells = classed.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
@@ -113,7 +115,7 @@ targets AS (
   FROM filled, rest),
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY nosource, name
-              ORDER BY CASE WHEN size > 0 THEN floor(log2(size) * 8)::INT ELSE -1 END, ((coalesce(doc_id, 0) % 64) + 64) % 64, size, doc_id NULLS FIRST) AS place
+              ORDER BY CASE WHEN size > 0 THEN floor(log2(size) * 8)::INT ELSE -1 END, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % (SELECT greatest(64, count(*) // 1000000) FROM sized), size, doc_id NULLS FIRST) AS place
   FROM sized),
 rated AS (
   SELECT p.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,

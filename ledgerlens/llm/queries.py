@@ -10,7 +10,7 @@ from ledgerlens.llm.common import documents
 from ledgerlens.llm.decontaminate import leaks
 from ledgerlens.llm.jaccard import jaccard_groups
 from ledgerlens.llm.language import languages
-from ledgerlens.llm.lines import LINES_SQL, LONG, PASSAGES_SQL, removed_lines
+from ledgerlens.llm.lines import LINES_SQL, LONG, removed_lines
 from ledgerlens.llm.mixing import MIX_SQL, mix
 from ledgerlens.llm.quality import quality
 from ledgerlens.llm.sharding import shard
@@ -25,11 +25,6 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removed_lines(spark, documents(spark, sf_dir))
-
-
-def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op2_repeated_lines, with shorter runs of over 50 words."""
     return removed_lines(spark, documents(spark, sf_dir), long=LONG)
 
 
@@ -66,8 +61,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_repeated_lines, op2_repeated_passages, op3_benchmark_leaks, op4_mix, op5_repeated_words, op6_jaccard_join, op7_shards, op8_language, op9_repeated_bytes, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_repeated_lines, op3_benchmark_leaks, op4_mix, op5_repeated_words, op6_jaccard_join, op7_shards, op8_language, op9_repeated_bytes, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_repeated_lines": LINES_SQL, "op2_repeated_passages": PASSAGES_SQL, "op4_mix": MIX_SQL}
+    return {"op2_repeated_lines": LINES_SQL, "op4_mix": MIX_SQL}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm import common, decontaminate, jaccard, kernels, language, quality, sharding
 from ledgerlens.llm.jaccard import jaccard_groups
 from ledgerlens.llm.lines import removed_lines
-from ledgerlens.llm.mixing import mix, mixed
+from ledgerlens.llm.mixing import MIX_SQL, mix, mixed
 from ledgerlens.llm import substrings
 from ledgerlens.llm.repeats import Repeats, words_of
 from ledgerlens.llm.substrings import removed_bytes, removed_words
@@ -108,11 +108,17 @@ def test_leaks_at_every_place_and_in_blocks_of_items(spark):
     items = [(k, " ".join(f"q{k}x{rng.randrange(900)}" for _ in range(12 + k))) for k in range(9)]
     noise = lambda n: " ".join(f"n{rng.randrange(5000)}" for _ in range(n))
     docs = [(at, noise(at) + " " + items[at % 9][1].upper().replace(" ", ", ") + " " + noise(30)) for at in range(60)] + [(99, noise(200)), (98, None), (None, items[0][1])]
-    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    texts, docs = docs, spark.createDataFrame(docs, "doc_id long, text string")
     table = spark.createDataFrame([*items, (50, None), (51, "")], "item_id long, text string")
     rows = decontaminate.leaks(spark, docs, table).collect()
     assert {(r.doc_id, r.item_id) for r in rows} == {(at, at % 9) for at in range(60)} | {(None, 0)}
-    assert len(list(decontaminate.indexes(table, 300))) > 1
+    blocks = list(decontaminate.indexes(table, 300))
+    assert len(blocks) > 1 and {b.longest for b in blocks} == {20}
+    found = set()
+    for b in blocks:  # as many rows from blocks as from the whole index
+        for d, t in texts:
+            found |= {(d, b.ids[r[1]], *r[2:]) for r in b.leaks(pa.array([t], pa.string()))}
+    assert found == {tuple(r) for r in rows}
 
 
 def test_leaks_of_edges(spark, edge, empty):
@@ -143,6 +149,16 @@ def test_mix_comes_near_its_targets(spark):
     assert all(r.t <= 2 * r.source_size + 1e-6 and abs(r.k - r.t) < 0.01 * r.t + 50 for r in taken)
 
 
+def test_mix_equals_sql(spark, small):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    got = mix(spark, spark.read.parquet(f"{small}/documents.parquet")).collect()
+    found = sorted((tuple(r[c] for c in ("doc_id", "size", "copies", "taken")) for r in got))
+    assert found == sorted(c.execute(f"SELECT doc_id, size, copies, taken FROM ({MIX_SQL})").fetchall())
+
+
 # 5, 9
 
 
