@@ -6,7 +6,9 @@ Input is not trusted: a script that does not fit its format gives null, never an
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,6 +22,8 @@ from ledgerlens.functions import fixed
 RETURN = 0x6A
 REFERENCES = range(0xD0, 0xD9)
 NORMAL, SINGLETON = 0xD0, 0xD8
+#: What parts a script's state from its code, and the bytes of the length that follow these opcodes.
+SEPARATOR, WIDTHS = 0xBD, {0x4C: 1, 0x4D: 2, 0x4E: 4}
 
 
 def walk(script: bytes) -> Iterator[tuple[int, bytes]]:
@@ -44,13 +48,13 @@ def walk(script: bytes) -> Iterator[tuple[int, bytes]]:
 
 @F.pandas_udf(T.ArrayType(T.BinaryType()))
 def chunks(scripts: pd.Series) -> pd.Series:
-    """What each step pushes, or its opcode where it pushes nothing; up to where the script ends too early."""
+    """What each step pushes (an opcode for 1 to 16, that number), or its opcode where it pushes nothing; up to where the script ends too early."""
 
     def cut(script):
         found = []
         try:
             for op, data in walk(script):
-                found.append(data if op <= 0x4E and op else bytes([op]))
+                found.append(data if op <= 0x4E and op else bytes([op - 0x50 if 0x51 <= op <= 0x60 else op]))
         except IndexError:
             pass
         return found
@@ -81,9 +85,8 @@ def _text(c: Column) -> Column:
 
 
 def _small(c: Column) -> Column:
-    """A number of one byte, or of an opcode that stands for 1 to 16."""
-    n = F.conv(F.hex(c), 16, 10).cast("int")
-    return F.when(F.octet_length(c) == 1, F.when(n.between(0x51, 0x60), n - 0x50).otherwise(n))
+    """A number of one byte."""
+    return F.when(F.octet_length(c) == 1, F.conv(F.hex(c), 16, 10).cast("int"))
 
 
 def _is_data(script: Column, c: Column, magic: bytes) -> Column:
@@ -125,9 +128,9 @@ def royalty_beacon(script: Column, c: Column) -> Column:
 
 
 def market_beacon(script: Column, c: Column, longest: int = 1024) -> Column:
-    """market, yes, no, expiry, grace, oracle, question of a prediction market."""
+    """market, yes, no, expiry, grace, oracle, question of a prediction market, as version 1 writes them."""
     sizes = {3: 36, 4: 36, 5: 36, 6: 4, 7: 4, 8: 33}
-    fits = _is_data(script, c, b"RMKT") & F.octet_length(_at(c, 9)).between(1, longest)
+    fits = _is_data(script, c, b"RMKT") & (_small(_at(c, 2)) == 1) & F.octet_length(_at(c, 9)).between(1, longest)
     for i, n in sizes.items():
         fits = fits & (F.octet_length(_at(c, i)) == n)
     number = lambda i: C.little_endian(_at(c, i), 4).cast("long")
@@ -141,14 +144,37 @@ def _varint(data: bytes, at: int) -> tuple[int, int]:
     return (int.from_bytes(data[at + 1 : at + 1 + wide], "little") if wide else first), at + 1 + wide
 
 
+def _twice(data: bytes) -> bytes:
+    return hashlib.sha256(hashlib.sha256(data).digest()).digest()
+
+
+def _referred(script: bytes) -> bytes:
+    """Of the different references that a script pushes, how many and a hash of all, as numbers in ascending order (last byte first)."""
+    try:
+        found = {data for op, data in walk(script) if op in (NORMAL, SINGLETON)}
+    except IndexError:
+        found = set()
+    joint = b"".join(sorted(found, key=lambda ref: int.from_bytes(ref, "little")))
+    return struct.pack("<I", len(found)) + (_twice(joint) if found else bytes(32))
+
+
+def _txid_of_version_3(inputs: list[dict], sequences: list[bytes], outputs: list[dict], lock: bytes) -> bytes:
+    """Version 3 is named by hashes of what it spends and makes, not by its bytes, so that a proof need not hold its scripts."""
+    spent = b"".join(i["prev"] + struct.pack("<I", i["index"]) + _twice(i["script"]) for i in inputs)
+    made = b"".join(struct.pack("<Q", int(o["value"])) + _twice(o["script"]) + _referred(o["script"]) for o in outputs)
+    counted = [struct.pack("<Ii", 3, len(inputs)), _twice(spent), _twice(b"".join(sequences)), struct.pack("<i", len(outputs)), _twice(made), lock]
+    return _twice(b"".join(counted))
+
+
 def _transaction(data: bytes, at: int) -> tuple[dict, int]:
     start, version = at, int.from_bytes(data[at : at + 4], "little", signed=True)
     n, at = _varint(data, at + 4)
-    inputs, outputs = [], []
+    inputs, outputs, sequences = [], [], []
     for vin in range(n):
         prev, index = data[at : at + 32], int.from_bytes(data[at + 32 : at + 36], "little")
         size, at = _varint(data, at + 36)
         inputs.append({"vin": vin, "prev": prev, "index": index, "script": data[at : at + size]})
+        sequences.append(data[at + size : at + size + 4])
         at += size + 4
     n, at = _varint(data, at)
     for vout in range(n):
@@ -159,7 +185,7 @@ def _transaction(data: bytes, at: int) -> tuple[dict, int]:
     at += 4
     if at > len(data):
         raise IndexError
-    txid = hashlib.sha256(hashlib.sha256(data[start:at]).digest()).digest()
+    txid = _txid_of_version_3(inputs, sequences, outputs, data[at - 4 : at]) if version == 3 else _twice(data[start:at])
     return {"txid": txid, "version": version, "inputs": inputs, "outputs": outputs}, at
 
 
@@ -171,16 +197,16 @@ def transactions(blocks: DataFrame, header: int = 80) -> DataFrame:
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
             for height, raw in zip(frame["height"], frame["raw"], strict=True):
+                rows = []
                 try:
                     n, at = _varint(raw, header)
                     for pos in range(n):
                         tx, at = _transaction(raw, at)
                         rows.append({"height": height, "pos": pos, **tx})
                 except IndexError:
-                    continue
-            yield pd.DataFrame(rows, columns=["height", "pos", "txid", "version", "inputs", "outputs"])
+                    pass
+                yield pd.DataFrame(rows, columns=["height", "pos", "txid", "version", "inputs", "outputs"])
 
     return blocks.select("height", "raw").mapInPandas(read, TRANSACTIONS)
 
@@ -198,8 +224,71 @@ def inputs_of(txs: DataFrame) -> DataFrame:
     return rows.filter(~C.generation(F.col("prev"), F.col("index")))
 
 
+@F.pandas_udf(T.IntegerType())
+def state_separator(scripts: pd.Series) -> pd.Series:
+    """Where the separator of state and code stands, 0 without one; null for a script that ends too early before it."""
+
+    def find(script):
+        at = 0
+        try:
+            for op, data in walk(script):
+                if op == SEPARATOR:
+                    return at
+                at += 1 + WIDTHS.get(op, 0) + len(data)
+        except IndexError:
+            return None
+        return 0
+
+    return scripts.map(lambda s: None if s is None else find(bytes(s)))
+
+
+def code_hash(script: Column) -> Column:
+    """What scripts of the same code share, whatever their state: a SHA-256 of the script from its separator on."""
+    return F.unhex(F.sha2(F.substr(script, state_separator(script) + 1), 256))
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("value", T.DecimalType(20, 0)), T.StructField("script", T.BinaryType())])))
+def price_terms(terms: pd.Series) -> pd.Series:
+    """The outputs that an order asks to be paid: a counted list of up to 1000, or else one value and the rest its script; null if it is neither."""
+
+    def listed(data):
+        n, at = _varint(data, 0)
+        found = []
+        while len(found) < n <= 1000:
+            value = int.from_bytes(data[at : at + 8], "little")
+            size, at = _varint(data, at + 8)
+            if at + size > len(data):
+                raise IndexError
+            found.append({"value": Decimal(value), "script": data[at : at + size]})
+            at += size
+        return found if at == len(data) else None
+
+    def read(data):
+        try:
+            found = listed(data)
+        except IndexError:
+            found = None
+        alone = [{"value": Decimal(int.from_bytes(data[:8], "little")), "script": data[8:]}] if len(data) > 8 else None
+        return found or alone
+
+    return terms.map(lambda t: None if t is None else read(bytes(t)))
+
+
+def payment(terms: Column) -> Column:
+    """total of what an order asks to be paid, and maker, the first standard payee's script; null if no terms can be read."""
+    paid = price_terms(terms)
+    total = F.aggregate(paid, F.lit(0).cast("decimal(38,0)"), lambda t, x: (t + x["value"]).cast("decimal(38,0)"))
+    maker = F.get(F.filter(paid, lambda x: C.pays_to_key_hash(x["script"]).isNotNull()), F.lit(0))["script"]
+    return F.when(paid.isNotNull(), F.struct(total.alias("total"), maker.alias("maker")))
+
+
+def in_range(amount: Column) -> Column:
+    """Whether a number of an order fits 64 bits without a sign."""
+    return amount.cast("decimal(38,0)").between(0, Decimal(2**64 - 1))
+
+
 def _check(payload: bytes) -> bytes:
-    return hashlib.sha256(hashlib.sha256(payload).digest()).digest()[:4]
+    return _twice(payload)[:4]
 
 
 @F.pandas_udf(T.StringType())

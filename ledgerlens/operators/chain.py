@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,37 +58,72 @@ def reorg_point(local: DataFrame, remote: DataFrame) -> DataFrame:
 
 
 def merkle_levels(leaves: DataFrame, levels: int) -> list[DataFrame]:
-    """block, pos, hash of each level, the leaves first; a level's last hash is paired with itself if it has no partner.
+    """block, pos, n (of the level), hash: the levels of every block's tree, leaves first; a block that is done keeps its root.
 
-    A level is a join-free aggregate over pairs, so blocks of any size are spread by (block, pair).
+    A level is an aggregate over (block, pair) of the one below, so blocks of any size are spread; the level's size is carried along.
     """
-    out = [leaves.select("block", "pos", "hash")]
+    out = [leaves.select("block", "pos", "hash").join(leaves.groupBy("block").agg(F.count(F.lit(1)).alias("n")), "block").select("block", "pos", "n", "hash")]
     for _ in range(levels):
-        below = out[-1]
-        size = below.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
-        pair = below.groupBy("block", F.floor(F.col("pos") / 2).alias("pos")).agg(F.min_by("hash", "pos").alias("a"), F.max_by("hash", "pos").alias("b"))
-        up = pair.join(size, "block").select("block", "pos", F.when(F.col("n") == 1, F.col("a")).otherwise(double_sha256(F.concat("a", "b"))).alias("hash"))
-        out.append(up)
+        pair = out[-1].groupBy("block", F.floor(F.col("pos") / 2).alias("pos")).agg(F.min_by("hash", "pos").alias("a"), F.max_by("hash", "pos").alias("b"), F.first("n").alias("n"))
+        joint = F.when(F.col("n") == 1, F.col("a")).otherwise(double_sha256(F.concat("a", "b")))
+        out.append(pair.select("block", "pos", F.ceil(F.col("n") / 2).alias("n"), joint.alias("hash")))
     return out
 
 
+def _depth(leaves: DataFrame) -> int:
+    return ((leaves.groupBy("block").count().agg(F.max("count")).first()[0] or 1) - 1).bit_length()
+
+
 def merkle_roots(leaves: DataFrame) -> DataFrame:
     """block, root"""
-    most = leaves.groupBy("block").count().agg(F.max("count")).first()[0] or 1
-    return merkle_levels(leaves, (most - 1).bit_length())[-1].select("block", F.col("hash").alias("root"))
-
-
-def merkle_branch(leaves: DataFrame, asked: DataFrame) -> DataFrame:
-    """block, pos, branch: for each asked (block, pos) the partner hashes from the leaf up."""
-    most = leaves.groupBy("block").count().agg(F.max("count")).first()[0] or 1
-    depth = (most - 1).bit_length()
-    found = None
-    for k, level in enumerate(merkle_levels(leaves, depth)[:depth]):
-        size = level.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
-        at = asked.join(size, "block").filter("n > 1").withColumn("own", F.floor(F.col("pos") / (1 << k)))
-        other = F.least(F.col("own").bitwiseXOR(F.lit(1)), F.col("n") - 1)
-        step = at.select("block", F.col("pos").alias("asked"), other.alias("pos")).join(level, ["block", "pos"]).select("block", F.col("asked").alias("pos"), F.struct(F.lit(k).alias("k"), "hash").alias("s"))
-        found = step if found is None else found.unionByName(step)
-    if found is None:
-        return asked.withColumn("branch", F.array().cast("array<binary>"))
+    return merkle_levels(leaves, _depth(leaves))[-1].select("block", F.col("hash").alias("root"))
+
+
+def merkle_branch(leaves: DataFrame, asked: DataFrame, star: bool = False) -> DataFrame:
+    """block, pos, branch: for each asked (block, pos) the partner hashes from the leaf up.
+
+    star: a partner that is the node itself, doubled at a level's end, is left out as null (the short form of proofs).
+    """
+    found = asked.select("block", "pos", F.lit(None).cast("struct<k: int, hash: binary>").alias("s"))
+    sized = asked.select("block", F.col("pos").alias("asked")).join(leaves.groupBy("block").agg(F.count(F.lit(1)).alias("leaves")), "block")
+    for k, level in enumerate(merkle_levels(leaves, _depth(leaves))[:-1]):
+        own, n = F.floor(F.col("asked") / (1 << k)), F.ceil(F.col("leaves") / (1 << k))
+        to = sized.filter(n > 1).select("block", "asked", own.alias("own"), F.least(own.bitwiseXOR(F.lit(1)), n - 1).alias("pos"))
+        hash_ = F.when(F.col("pos") != F.col("own"), F.col("hash")) if star else F.col("hash")
+        found = found.unionByName(to.join(level.select("block", "pos", "hash"), ["block", "pos"]).select("block", F.col("asked").alias("pos"), F.struct(F.lit(k).alias("k"), hash_.alias("hash")).alias("s")))
     return found.groupBy("block", "pos").agg(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["hash"]).alias("branch"))
+
+
+def shared_dir(spark) -> str:
+    """The folder that driver and executors share; a temporary one where it is unset and all run on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.gettempdir()
+    return found.rstrip("/")
+
+
+def depths(parents: DataFrame) -> DataFrame:
+    """tx, depth of transactions (tx, parent) whose parents may be among them: rounds over what is new, until nothing is.
+
+    Each round is written to the shared folder, so chains of any length do not grow the plan.
+    """
+    spark, run = parents.sparkSession, uuid.uuid4().hex
+
+    def cut(rows: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(spark)}/depths-{run}-{name}"
+        rows.write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+
+    parents = cut(parents.select("tx", "parent"), "parents")
+    known = parents.select(F.col("tx").alias("parent"))
+    new = cut(parents.join(known, "parent", "left_anti").select("tx", F.lit(0).cast("long").alias("depth")), "0")
+    found, step = new, 0
+    while not new.isEmpty():
+        step += 1
+        new = cut(parents.join(new.select(F.col("tx").alias("parent"), "depth"), "parent").select("tx", (F.col("depth") + 1).alias("depth")), str(step))
+        found = found.unionByName(new)
+    return found
+
+

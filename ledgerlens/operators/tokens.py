@@ -82,10 +82,10 @@ def stats(tokens: DataFrame) -> DataFrame:
 
 
 def companions(outputs: DataFrame) -> DataFrame:
-    """Pairs of tokens that were first made in the same transaction, the lesser first."""
+    """token, tx, first_token, companions: tokens first made in a transaction with others, the least of these, and how many others there are."""
     made = outputs.groupBy("token").agg(F.min(F.struct("height", "tx")).alias("m")).select("token", F.col("m.tx").alias("tx"))
-    other = made.withColumnRenamed("token", "companion")
-    return made.join(other, "tx").filter("token < companion")
+    groups = made.groupBy("tx").agg(F.min("token").alias("first_token"), (F.count(F.lit(1)) - 1).alias("companions")).filter("companions > 0")
+    return made.join(groups, "tx").select("tx", "token", "first_token", "companions")
 
 
 def account_tokens(outputs: DataFrame, tokens: DataFrame, account: int) -> DataFrame:

@@ -61,16 +61,9 @@ def balance_merged(spark, d):
     return ledger.merged_balances(T.outputs(spark, d), POOL)
 
 
-@query("txs outs points", "SELECT account, tx, vout, value FROM points WHERE NOT spent AND account < 50")
-def utxo_list(spark, d):
-    points = T.outpoints(spark, d)
-    spent = points.filter("spent").select("tx", "vout")
-    return ledger.unspent(points.filter("account < 50"), spent).select("account", "tx", "vout", "value")
-
-
 @query("txs outs points", "SELECT account, tx, vout, value FROM points WHERE NOT spent")
-def utxo_list_all(spark, d):
-    """utxo_list of every account."""
+def utxo_list(spark, d):
+    """The unspent outputs of every account."""
     points = T.outpoints(spark, d)
     return ledger.unspent(points, points.filter("spent").select("tx", "vout")).select("account", "tx", "vout", "value")
 
@@ -215,14 +208,9 @@ def cum_tx_per_block(spark, d):
     return chain.blocks(T.txs(spark, d))
 
 
-@query("txs", "SELECT n.number, b.height FROM (SELECT range * 7 AS number FROM range(0, 300)) n ASOF JOIN (SELECT height, sum(count(*)) OVER (ORDER BY height ROWS UNBOUNDED PRECEDING)::BIGINT - count(*) AS first FROM txs GROUP BY height) b ON n.number >= b.first")
-def tx_num_to_height(spark, d):
-    return chain.height_of(spark.range(300).select((F.col("id") * 7).alias("number")), chain.blocks(T.txs(spark, d)))
-
-
 @query("txs", "SELECT n.number, b.height FROM (SELECT unnest(range((SELECT count(*) FROM txs))) AS number) n ASOF JOIN (SELECT height, sum(count(*)) OVER (ORDER BY height ROWS UNBOUNDED PRECEDING)::BIGINT - count(*) AS first FROM txs GROUP BY height) b ON n.number >= b.first")
-def tx_num_to_height_all(spark, d):
-    """tx_num_to_height of every transaction."""
+def tx_num_to_height(spark, d):
+    """The height of every transaction's number."""
     t = T.txs(spark, d)
     return chain.height_of(spark.range(t.count()).select(F.col("id").alias("number")), chain.blocks(t))
 
@@ -280,14 +268,8 @@ def merkle_root_per_block(spark, d):
     r AS (SELECT tx, 0 AS depth FROM pool WHERE parent NOT IN (SELECT tx FROM pool) UNION ALL SELECT p.tx, r.depth + 1 FROM pool p JOIN r ON p.parent = r.tx) SELECT tx, depth::BIGINT AS depth FROM r""",
 )
 def unconfirmed_chain(spark, d):
-    """Transactions of the mempool by their distance from a confirmed parent: rounds over what is new, until nothing is."""
-    T.txs(spark, d).filter(F.col("height") >= POOL).select("tx", (F.col("tx") - 1 - F.col("tx") % 3).alias("parent")).createOrReplaceTempView("pool_parents")
-    return spark.sql(
-        """WITH RECURSIVE r(tx, depth) AS (
-             SELECT tx, 0L FROM pool_parents p WHERE NOT EXISTS (SELECT 1 FROM pool_parents q WHERE q.tx = p.parent)
-             UNION ALL SELECT p.tx, r.depth + 1 FROM pool_parents p JOIN r ON p.parent = r.tx)
-           SELECT tx, depth FROM r"""
-    )
+    """Transactions of the mempool by their distance from a confirmed parent."""
+    return chain.depths(T.txs(spark, d).filter(F.col("height") >= POOL).select("tx", (F.col("tx") - 1 - F.col("tx") % 3).alias("parent")))
 
 
 # ---- tokens
@@ -378,7 +360,7 @@ def account_tokens(spark, d):
     return tokens.account_tokens(T.outputs(spark, d), T.tokens(spark, d), ACCOUNT)
 
 
-@query("txs outs", ", m AS (SELECT token, arg_min(tx, height * 10000000 + tx) AS tx FROM outs GROUP BY token) SELECT a.tx, a.token, b.token AS companion FROM m a JOIN m b USING (tx) WHERE a.token < b.token")
+@query("txs outs", ", m AS (SELECT token, arg_min(tx, height * 10000000 + tx) AS tx FROM outs GROUP BY token) SELECT m.tx, token, first_token, companions FROM m JOIN (SELECT tx, min(token) AS first_token, count(*) - 1 AS companions FROM m GROUP BY tx HAVING count(*) > 1) USING (tx)")
 def sibling_singletons(spark, d):
     return tokens.companions(T.outputs(spark, d))
 

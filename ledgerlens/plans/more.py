@@ -2,37 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import columns as C
 from ledgerlens.functions import fixed
-from ledgerlens.operators import ledger, market, tokens
+from ledgerlens.operators import chain, ledger, market, tokens
 from ledgerlens.operators.paging import clamp, page, with_total
 from ledgerlens.plans.catalog import ACCOUNT, POOL, TOKEN, query
 from ledgerlens.sources import tables as T
 from ledgerlens.streaming import live
 
 
-@query(
-    "txs outs points",
-    f"""SELECT p.tx, p.vout, coalesce(m.token, c.token) AS ref FROM points p LEFT JOIN (SELECT tx, vout, token FROM points WHERE height >= {POOL}) m USING (tx, vout) LEFT JOIN (SELECT tx, vout, token FROM points WHERE height < {POOL}) c USING (tx, vout) WHERE p.account < 30""",
-)
-def refs_by_outpoint(spark, d):
-    """What an outpoint refers to: of the mempool if it is there, else of the blocks."""
-    points = T.outpoints(spark, d)
-    pool, done = (points.filter(f).select("tx", "vout", F.col("token").alias(n)) for f, n in ((F.col("height") >= POOL, "m"), (F.col("height") < POOL, "c")))
-    return points.filter("account < 30").select("tx", "vout").join(pool, ["tx", "vout"], "left").join(done, ["tx", "vout"], "left").select("tx", "vout", F.coalesce("m", "c").alias("ref"))
-
-
 @query(
     "txs outs points",
     f"""SELECT p.tx, p.vout, coalesce(m.token, c.token) AS ref FROM points p LEFT JOIN (SELECT tx, vout, token FROM points WHERE height >= {POOL}) m USING (tx, vout) LEFT JOIN (SELECT tx, vout, token FROM points WHERE height < {POOL}) c USING (tx, vout)""",
 )
-def refs_by_outpoint_all(spark, d):
-    """refs_by_outpoint of every account's outpoints."""
+def refs_by_outpoint(spark, d):
+    """What every outpoint refers to: of the mempool if it is there, else of the blocks."""
     points = T.outpoints(spark, d)
     pool, done = (points.filter(f).select("tx", "vout", F.col("token").alias(n)) for f, n in ((F.col("height") >= POOL, "m"), (F.col("height") < POOL, "c")))
     return points.select("tx", "vout").join(pool, ["tx", "vout"], "left").join(done, ["tx", "vout"], "left").select("tx", "vout", F.coalesce("m", "c").alias("ref"))
@@ -158,15 +146,9 @@ def best_days(spark, d):
     return first_per_group(days, ["account"], [F.desc("received"), F.asc("height")], 2).select("account", "height", "received", "rank")
 
 
-@query("txs", f"SELECT account, tx, height, count(*) OVER (PARTITION BY account ORDER BY height, tx ROWS UNBOUNDED PRECEDING) AS seen FROM txs WHERE account < 100 AND height < {POOL}")
-def history_numbered(spark, d):
-    own = T.txs(spark, d).filter((F.col("account") < 100) & (F.col("height") < POOL)).select("account", "tx", "height")
-    return market.running_count(own, "account", [F.asc("height"), F.asc("tx")])
-
-
 @query("txs", f"SELECT account, tx, height, count(*) OVER (PARTITION BY account ORDER BY height, tx ROWS UNBOUNDED PRECEDING) AS seen FROM txs WHERE height < {POOL}")
-def history_numbered_all(spark, d):
-    """history_numbered of every account."""
+def history_numbered(spark, d):
+    """Every account's confirmed history, numbered."""
     own = T.txs(spark, d).filter(F.col("height") < POOL).select("account", "tx", "height")
     return market.running_count(own, "account", [F.asc("height"), F.asc("tx")])
 
@@ -177,7 +159,7 @@ def history_numbered_all(spark, d):
 )
 def live_ohlcv_1d(spark, d):
     """Daily candles of a stream of trades, run until nothing is left; each trigger replaces the table of candles."""
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).rstrip("/")
+    shared = chain.shared_dir(spark)
     run_id = uuid.uuid4().hex
     out, state = f"{shared}/candles-{run_id}", f"{shared}/candles-state-{run_id}"
     trades = T.trades(spark, d).withColumn("ts", F.col("ts").cast("timestamp")).select("trade", "token", "price", "amount", "ts")

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from ledgerlens.plans import catalog, more  # noqa: F401
+from ledgerlens.plans import catalog, more, overlays  # noqa: F401
 
 
 def rows(df):
