@@ -155,7 +155,7 @@ def cuts(groups: DataFrame, shards: int, large: list[tuple[int, int]] = ()) -> l
         shift = max(u.shift for u in found)  # one level at a time, so that one equality finds the groups
         found = [u for u in found if u.shift == shift]
         listed = F.lit(",".join(str(u.place[1] >> shift) for u in found))
-        ids = groups.sparkSession.range(1).select(F.explode(F.split(listed, ",")).cast("long").alias("range"))
+        ids = groups.sparkSession.range(1).select(F.explode(F.split(listed, ",").cast("array<long>")).alias("range"))
         finer = max(0, shift - max(1, (RANGES // len(found)).bit_length() - 1))
         within = groups.withColumn("range", F.shiftright("key", shift)).join(ids, "range", "left_semi").drop("range")
         units = sorted(set(units) - set(found)) + _units(within, finer)
