@@ -24,6 +24,8 @@ EVENTS = ["DEPLOY", "MINT", "TRANSFER", "BURN", "UPDATE"]
 ORDER_STATES = ["OPEN", "PARTIAL", "FILLED", "CANCELLED", "EXPIRED"]
 SIDES = ["BUY", "SELL"]
 TOKEN_TYPES = ["UNKNOWN", "FT", "NFT", "DAT", "DMINT", "WAVE", "CONTAINER", "AUTHORITY"]
+#: What a token of each type is called.
+TOKEN_LABELS = ["Unknown", "Fungible Token", "NFT", "Data", "dMint FT", "WAVE Name", "Container", "Authority"]
 #: Protocol numbers.
 FT, NFT, DAT, DMINT, MUT, BURN, CONTAINER, ENCRYPTED, TIMELOCK, AUTHORITY, WAVE = range(1, 12)
 #: Characters of a name in the order of their branches, and its greatest length.

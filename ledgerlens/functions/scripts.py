@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from decimal import Decimal
 
 import pandas as pd
@@ -26,8 +26,8 @@ NORMAL, SINGLETON = 0xD0, 0xD8
 SEPARATOR, WIDTHS = 0xBD, {0x4C: 1, 0x4D: 2, 0x4E: 4}
 
 
-def walk(script: bytes) -> Iterator[tuple[int, bytes]]:
-    """(opcode, operand) of each step; raises IndexError where the script ends too early."""
+def walk(script: bytes, references: Container[int] = REFERENCES) -> Iterator[tuple[int, bytes]]:
+    """(opcode, operand) of each step, with an operand for opcodes of references; raises IndexError where the script ends too early."""
     at = 0
     while at < len(script):
         op = script[at]
@@ -39,7 +39,7 @@ def walk(script: bytes) -> Iterator[tuple[int, bytes]]:
             size = int.from_bytes(script[at : at + wide], "little")
             at += wide
         else:
-            size = 36 if op in REFERENCES else 0
+            size = 36 if op in references else 0
         if at + size > len(script):
             raise IndexError
         yield op, script[at : at + size]
