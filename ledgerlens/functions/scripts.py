@@ -211,6 +211,12 @@ def transactions(blocks: DataFrame, header: int = 80) -> DataFrame:
     return blocks.select("height", "raw").mapInPandas(read, TRANSACTIONS)
 
 
+def index_bytes(index: Column) -> Column:
+    """An output's number as references hold it: four bytes, little-endian."""
+    pairs = F.lpad(F.hex(index.cast("long")), 8, "0")
+    return F.unhex(F.concat(*[F.substring(pairs, i, 2) for i in (7, 5, 3, 1)]))
+
+
 def outputs_of(txs: DataFrame) -> DataFrame:
     """txid, vout, value, script, hashx: spendable outputs."""
     rows = txs.select("txid", "height", F.explode("outputs").alias("o"))
