@@ -20,7 +20,7 @@ from ledgerlens.functions import fixed
 
 #: Opcodes: a script that carries data only, and operands of 36 bytes that name a reference.
 RETURN = 0x6A
-REFERENCES = range(0xD0, 0xD9)
+REFERENCES = (0xD0, 0xD1, 0xD2, 0xD3, 0xD8)
 NORMAL, SINGLETON = 0xD0, 0xD8
 #: What parts a script's state from its code, and the bytes of the length that follow these opcodes.
 SEPARATOR, WIDTHS = 0xBD, {0x4C: 1, 0x4D: 2, 0x4E: 4}

@@ -95,6 +95,14 @@ def test_references(spark):
     assert [(bytes(x.ref), x.singleton) for x in row.r] == [(a, False), (b, True)]
 
 
+def test_opcodes_between_references_have_no_operand(spark):
+    ref = bytes(range(36))
+    for op in range(0xD4, 0xD8):
+        script = bytes([op, 0xD8]) + ref + b"\xbd\xac"
+        row = spark.createDataFrame([(script,)], "s binary").select(S.references("s").alias("r"), S.state_separator("s").alias("at")).first()
+        assert [(bytes(r.ref), r.singleton) for r in row.r] == [(ref, True)] and row["at"] == 38
+
+
 def test_transactions_and_spends(spark):
     def tx(inputs, outputs):
         body = struct.pack("<i", 1) + bytes([len(inputs)])
