@@ -33,6 +33,17 @@ NAME_CHARACTERS = "abcdefghijklmnopqrstuvwxyz0123456789-"
 NAME_LENGTH = 63
 #: A realm's id.
 REALM_ID = "^[a-z0-9][a-z0-9_-]*$"
+#: What a realm's metadata must say, the greatest lengths of its id, name and description, and of its royalty in hundredths of a percent.
+REALM_SCHEMA = "realm_v1"
+REALM_NAMESPACE = "rxd.game"
+REALM_KINDS = ["world", "arena", "experience"]
+REALM_ID_LENGTH, REALM_NAME_LENGTH, REALM_TEXT_LENGTH = 48, 64, 280
+MOST_ROYALTY = 5000
+#: Mining algorithms, with the opcode of those that have one, and ways to adjust difficulty, by number.
+ALGORITHMS = [("SHA256D", "OP_HASH256"), ("BLAKE3", "OP_BLAKE3"), ("KangarooTwelve", "OP_K12"), ("Argon2id-Light", None), ("RandomX-Light", None)]
+ADJUSTMENTS = ["fixed", "epoch", "asert", "lwma", "schedule"]
+#: Settings of adjustments where a contract states none.
+BLOCK_TIME, HALF_LIFE, WINDOW, EPOCH, MOST_ADJUSTMENT = 60, 1000, 144, 2016, 4
 #: Blocks in a day, as statistics count days.
 BLOCKS_PER_DAY = 144
 #: Base units in a coin.
