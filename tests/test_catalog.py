@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from ledgerlens.plans import catalog, decoded, more, overlays  # noqa: F401
+from ledgerlens.plans import catalog, decoded, more, overlays, templated  # noqa: F401
 
 
 def rows(df):
