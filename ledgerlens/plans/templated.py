@@ -78,11 +78,11 @@ def header_hashes(spark, d):
 
 
 def _of_code(spark, d):
-    """Outputs whose script has the code of one contract, whatever its state."""
-    coded = lambda state, minter: F.concat(_raw("04"), F.unhex(F.lpad(F.hex(state), 8, "0")), _raw("BD"), _hash_of(minter), _raw("51"))
-    points = T.outpoints(spark, d).withColumn("script", coded(F.col("vout"), F.col("minter")))
-    wanted = spark.range(1).select(scripts.code_hash(coded(F.lit(0).cast("long"), F.lit(CODE).cast("long"))).alias("code"))
-    return points.withColumn("code", scripts.code_hash(F.col("script"))).join(F.broadcast(wanted), "code", "left_semi")
+    """Outputs whose script has the code of one contract, whatever its state; what is asked for is a constant, so each script is read once."""
+    code = lambda minter: F.concat(_raw("BD"), _hash_of(minter), _raw("51"))
+    state = F.concat(_raw("04"), F.unhex(F.lpad(F.hex("vout"), 8, "0")))
+    points = T.outpoints(spark, d).withColumn("script", F.concat(state, code(F.col("minter"))))
+    return points.filter(scripts.code_hash(F.col("script")) == F.unhex(F.sha2(code(F.lit(CODE).cast("long")), 256)))
 
 
 @query("txs outs points", f"SELECT tx, vout, value, CASE WHEN height < {POOL} THEN height ELSE 0 END AS height FROM points WHERE minter = {CODE} AND NOT spent")
@@ -103,6 +103,29 @@ def code_spent_in_pool(spark, d):
     return _of_code(spark, d).filter(F.col("spend_height") >= POOL).select("tx", "vout")
 
 
+# ---- orders
+
+
+def _long(n):
+    """A number in eight bytes, little-endian."""
+    return F.unhex(F.array_join(F.reverse(F.regexp_extract_all(F.lpad(F.hex(n), 16, "0"), F.lit("(..)"), 1)), ""))
+
+
+@query(
+    "txs book",
+    """SELECT "order", CASE WHEN "order" % 3 = 0 THEN 1 ELSE 2 END AS outputs, price + CASE WHEN "order" % 3 = 0 THEN 0 ELSE height END AS total,
+    CASE WHEN "order" % 3 <> 2 THEN '76a914' || substr(sha256(maker::VARCHAR), 1, 40) || '88ac' END AS maker FROM book""",
+)
+def order_terms(spark, d):
+    """What every order asks to be paid, in how many outputs, and its maker: from terms that are a list, or one value and its script."""
+    out = lambda n, script: F.concat(_long(n), F.unhex(F.lpad(F.hex(F.octet_length(script)), 2, "0")), script)
+    maker = F.when(F.col("order") % 3 == 2, _raw("51")).otherwise(_pays(F.col("maker")))
+    listed = F.concat(_raw("02"), out(F.col("height"), _raw("6A")), out(F.col("price"), maker))
+    terms = F.when(F.col("order") % 3 == 0, F.concat(_long(F.col("price")), maker)).otherwise(listed)
+    told = T.orders(spark, d).select("order", scripts.price_terms(terms).alias("outputs"), scripts.payment(terms).alias("p"))
+    return told.select("order", F.size("outputs").alias("outputs"), F.col("p.total").cast("long").alias("total"), F.lower(F.hex("p.maker")).alias("maker"))
+
+
 # ---- names and realms
 
 
